@@ -190,6 +190,12 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents that :func:`near_duplicates` doesn't keep."""
+    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+
+
 def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float) -> DataFrame:
     """The confirmed links (a, b) between classes; see step 3 of the module."""
     spark = scratch.spark

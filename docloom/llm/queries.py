@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing, packing, toxicity
 from .minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,10 +16,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op3_mixture_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer(), end_id=1, length=2048)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_minhash_near_dedup,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_entropy_mix, op3_mixture_pack, op6_minhash_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if _own.get("shipped") != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        target = f"{tempfile.mkdtemp(prefix='docloom-')}/docloom.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(target)
+        _own["shipped"] = context.applicationId
+    return spark
+
+
 class Scratch:
     """The written tables of one operator run."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = ship(spark)
         self.root = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
