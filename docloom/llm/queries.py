@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, toxicity
+from . import itq, mixing, packing, topk, toxicity
 from .minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,14 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=4, num=80, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_entropy_mix, op3_mixture_pack, op6_minhash_near_dedup)}
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_itq_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_entropy_mix, op3_mixture_pack, op6_minhash_near_dedup, op7_exact_topk, op10_itq_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
