@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import DocumentError, EngineError, FieldNotFound, HashMismatch, SegmentError
+from ..errors import EngineError, FieldNotFound, HashMismatch, SegmentError
 from ..functions.fields import DELETED, ID, VERSION, TaggedFields, tag_of
 from ..functions.identity import NIL, new_id
 from ..functions.values import LANE, STORED, Tag, Value, decode, encode
@@ -195,9 +195,8 @@ class Collection:
         return self.put_batch([(id, fields)])[0]
 
     def put_batch(self, documents: Iterable[tuple[str | None, dict[str, Any]]]) -> list[str]:
-        rows = [(id or new_id(), False, {k: encode(v) for k, v in fields.items()}) for id, fields in documents]
-        if any(r[0] == NIL for r in rows):
-            raise DocumentError("the nil id names no document")
+        unset = (None, "", NIL)
+        rows = [(new_id() if id in unset else id, False, {k: encode(v) for k, v in fields.items()}) for id, fields in documents]
         return self._append(rows)
 
     def delete(self, id: str) -> None:
@@ -225,12 +224,18 @@ class Collection:
         This is the way to ingest at scale: rows go straight into a segment.
         Where an id repeats within the batch, one of its rows is the newest.
         """
+        self._append_frame(tag_columns(df, id).select(ID, F.lit(False).alias(DELETED), "fields"))
+
+    def delete_frame(self, ids: DataFrame) -> None:
+        """Writes a tombstone for each id of a one-column DataFrame, as one batch."""
+        none = F.create_map().cast(f"map<string,{STORED}>")
+        self._append_frame(ids.toDF(ID).select(F.col(ID).cast("string"), F.lit(True).alias(DELETED), none.alias("fields")))
+
+    def _append_frame(self, docs: DataFrame) -> None:
         with self._lock:
             self.flush()
-            base, docs = self._version, tag_columns(df, id)
-            step = F.monotonically_increasing_id()
-            rows = docs.select(ID, (F.lit(base + 1) + step).alias(VERSION), F.lit(False).alias(DELETED), "fields")
-            segment = self._write(rows, parts=None)
+            version = F.lit(self._version + 1) + F.monotonically_increasing_id()
+            segment = self._write(docs.select(ID, version.alias(VERSION), DELETED, "fields"), parts=None)
             if segment:
                 self._version = segment[1]
                 self._segments.append(segment[0])
