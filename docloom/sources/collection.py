@@ -169,6 +169,7 @@ class Collection:
         self._segments = [C.Segment(**s) for s in state["segments"]]
         self._indexes = [X.Index(**i) for i in state["indexes"]]
         self._version, self._log_from = state["version"], state["log"]
+        self._feeds: dict[str, int] = state.get("feeds", {})
         self._buffer: list[tuple] = []
         self._log_next = self._log_from
         for name in self.files.names("log"):
@@ -183,7 +184,7 @@ class Collection:
         self._seq += 1
         state = {
             "seq": self._seq, "segments": [vars(s) for s in self._segments], "indexes": [i.to_dict() for i in self._indexes],
-            "version": self._version, "log": self._log_from,
+            "version": self._version, "log": self._log_from, "feeds": self._feeds,
         }
         if not self.files.create(f"commit/{self._seq:012d}.json", state):
             raise EngineError("another writer has committed to this collection")
@@ -218,20 +219,24 @@ class Collection:
                 self.flush()
             return [r[0] for r in made]
 
-    def put_frame(self, df: DataFrame, id: str | None = None) -> None:
+    def put_frame(self, df: DataFrame, id: str | None = None, feed: tuple[str, int] | None = None) -> None:
         """Writes a DataFrame of typed columns as one batch, without passing through the driver.
 
         This is the way to ingest at scale: rows go straight into a segment.
         Where an id repeats within the batch, one of its rows is the newest.
+        ``feed`` is (name, number) of a batch of a stream; a number that the feed
+        has passed already is not written again.
         """
-        self._append_frame(tag_columns(df, id).select(ID, F.lit(False).alias(DELETED), "fields"))
+        if feed is not None and feed[1] <= self._feeds.get(feed[0], -1):
+            return
+        self._append_frame(tag_columns(df, id).select(ID, F.lit(False).alias(DELETED), "fields"), feed)
 
     def delete_frame(self, ids: DataFrame) -> None:
         """Writes a tombstone for each id of a one-column DataFrame, as one batch."""
         none = F.create_map().cast(f"map<string,{STORED}>")
         self._append_frame(ids.toDF(ID).select(F.col(ID).cast("string"), F.lit(True).alias(DELETED), none.alias("fields")))
 
-    def _append_frame(self, docs: DataFrame) -> None:
+    def _append_frame(self, docs: DataFrame, feed: tuple[str, int] | None = None) -> None:
         with self._lock:
             self.flush()
             version = F.lit(self._version + 1) + F.monotonically_increasing_id()
@@ -240,6 +245,9 @@ class Collection:
                 self._version = segment[1]
                 self._segments.append(segment[0])
                 self.scaling.write(segment[0].rows)
+            if feed is not None:
+                self._feeds[feed[0]] = feed[1]
+            if segment or feed is not None:
                 self._commit()
 
     def flush(self) -> None:
