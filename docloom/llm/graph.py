@@ -18,21 +18,24 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     the joins have plain keys on both sides, so that a hub's rows can be split.
     """
     rank = lambda c: F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("n"))
-    live = scratch.save(edges.select("a", "b").where("a <> b").distinct())
-    both = live.union(live.select("b", "a"))
-    whole = scratch.save(both.groupBy("a").agg(F.lit(1).alias("one")).select(F.col("a").alias("node"), F.col("a").alias("top")))
-    while not live.isEmpty():
+    live, steps = edges.select("a", "b").where("a <> b"), []
+    while True:
         both = live.union(live.select("b", "a")).toDF("x", "y")
         to = both.groupBy("x").agg(F.min(rank("y")).alias("least"))
         to = scratch.save(to.select("x", F.least("least", rank("x"))["n"].alias("p")))
         moved = live.join(to.toDF("a", "pa"), "a").join(to.toDF("b", "pb"), "b")
         moved = moved.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         contracted = scratch.save(moved.distinct())
-        relabelled = whole.join(to.toDF("top", "p"), "top", "left")
-        relabelled = scratch.save(relabelled.select("node", F.coalesce("p", "top").alias("top")))
-        scratch.free(live, whole, to)
-        live, whole = contracted, relabelled
+        if steps:
+            scratch.free(live)
+        live = contracted
+        steps.append(to)
+        if live.isEmpty():
+            break
+    whole = steps[0].toDF("node", "top")
+    for to in steps[1:]:
+        whole = whole.join(to.toDF("top", "p"), "top", "left").select("node", F.coalesce("p", "top").alias("top"))
     least = whole.groupBy("top").agg(F.min("node").alias("component"))
     out = scratch.save(whole.join(least, "top").select("node", "component"))
-    scratch.free(live, whole)
+    scratch.free(live, *steps)
     return out

@@ -6,12 +6,15 @@
     one class from here on, so thousands of copies are one row.
 2.  Classes that share a band fall into a bucket; buckets with the same members
     count once.
-3.  Buckets are worked off by leaders, never by all pairs: in each round a few
-    members of every open bucket are compared with those members that are not
-    yet in the leader's component.  A bucket is closed once the members that
-    never led are all in one component.  Every pair of a bucket is then either
-    compared or known to be in one component, so no component is lost to this
-    order, and a bucket of m near copies costs about m comparisons.
+3.  Buckets are not worked off by all pairs.  First, each member is compared with
+    its bucket's leader, the member that shares most buckets with others, so that
+    most of a group of near copies falls into one component at about one
+    comparison each.  Then only members outside their bucket's largest component
+    are compared with those of other components, in blocks of at most ``BLOCK``
+    a side, dealt out over tasks and compared as arrays; a task verifies the most
+    similar pairs first and skips what its findings have joined already.  Every
+    pair of a bucket is compared or in one component, so no component is lost,
+    and what leaves a task is at most one link for each member.
 4.  A pair's signatures are compared in batches.  After n values with m equal
     the posterior of the similarity s under a uniform prior is
     Beta(m + 1, n - m + 1); the pair is dropped as soon as
@@ -41,7 +44,9 @@ BANDS, ROWS = 36, 6
 #: Signature values that are compared between two looks at the posterior.
 BATCH = 24
 #: Chosen probability that a pair at the threshold is pruned at one look.
-MISS = 1e-7
+MISS = 1e-6
+#: Members on one side of two blocks that are compared.
+BLOCK = 256
 #: Hashes of one text that are worked on together.
 WIDTH = 4096
 
@@ -129,6 +134,11 @@ def _prune(n: int, threshold: float, miss: float):
     return run
 
 
+def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _confirm(k: int, num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -142,9 +152,7 @@ def _confirm(k: int, num: int, den: int):
                         sets[ids[new[w.row + i]]] = W.shingle_set(w.hashes[w.first[i] : w.first[i + 1]], k)
             keep = []
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                x, y = sets[a], sets[b]
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if den * both >= num * (len(x) + len(y) - both):
+                if _linked(sets[a], sets[b], num, den):
                     keep.append(i)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], names=["a", "b"])
@@ -152,6 +160,60 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _settle(k: int, num: int, den: int, n: int, miss: float):
+    """Links between the components of a bucket, from its blocks; rows come sorted by block pair and side."""
+    looks = [(at, least_matches(at, num / den, miss)) for at in [*range(BATCH, n, BATCH), n]]
+
+    def one(rows: list[dict], found: list[tuple[int, int]]) -> None:
+        left, right = ([r for r in rows if r["side"] == side] for side in (0, 1))
+        if not left or not right:
+            return
+        size_l, size_r, c_l, c_r, id_l, id_r = (np.array([r[c] for r in side]) for c in ("n", "c", "rep") for side in (left, right))
+        fit = (c_l[:, None] != c_r) & (den * np.minimum(size_l[:, None], size_r) >= num * np.maximum(size_l[:, None], size_r))
+        # a pair of two outliers stands in two blocks
+        a, b = np.nonzero(fit & (~np.array([r["out"] for r in right]) | (id_l[:, None] < id_r)))
+        sig_l, sig_r = (np.frombuffer(b"".join(r["sig"] for r in side), "<u2").reshape(-1, n) for side in (left, right))
+        equal, seen = np.zeros(len(a), np.int64), 0
+        for at, least in looks:
+            equal = equal + (sig_l[a, seen:at] == sig_r[b, seen:at]).sum(axis=1)
+            a, b, equal, seen = a[equal >= least], b[equal >= least], equal[equal >= least], at
+        up: dict[int, int] = {}
+
+        def top(v: int) -> int:
+            while up.setdefault(v, v) != v:
+                up[v] = v = up[up[v]]
+            return v
+
+        sets: dict[tuple[int, int], np.ndarray] = {}
+
+        def shingles(side: int, i: int) -> np.ndarray:
+            if (side, i) not in sets:
+                (w,) = W.words(pa.array([(left, right)[side][i]["text"]]))
+                sets[side, i] = W.shingle_set(w.hashes, k)
+            return sets[side, i]
+
+        for o in np.argsort(-equal, kind="stable").tolist():
+            u, v = top(int(c_l[a[o]])), top(int(c_r[b[o]]))
+            if u != v and _linked(shingles(0, a[o]), shingles(1, b[o]), num, den):
+                up[u] = v
+                found.append((int(id_l[a[o]]), int(id_r[b[o]])))
+
+    def run(batches):
+        group, rows, found = None, [], []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["bucket"], r["i"], r["j"]) != group:
+                    if rows:
+                        one(rows, found)
+                    group, rows = (r["bucket"], r["i"], r["j"]), []
+                rows.append(r)
+        if rows:
+            one(rows, found)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, miss: float = MISS
 ) -> DataFrame:
@@ -178,9 +240,8 @@ def near_duplicates(
     met = scratch.save(met.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"))
     members = scratch.save(banded.join(met, "key").select(F.col("key").alias("bucket"), "rep", "n"))
     scratch.free(met)
-    edges = _verify_buckets(scratch, base, reps, members, k, num, den, n, miss)
+    labels = _verify_buckets(scratch, base, reps, members, k, num, den, n, miss)
     scratch.free(members, reps)
-    labels = components(scratch, edges)
 
     classes = classes.join(labels.toDF("rep", "component"), "rep", "left")
     classes = classes.select(*same, F.coalesce("component", "rep").alias("component"))
@@ -197,48 +258,42 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
 
 def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float) -> DataFrame:
-    """The confirmed links (a, b) between classes; see step 3 of the module."""
-    spark = scratch.spark
-    pair, led = "a long, b long", "bucket long, rep long"
-    edges, compared, leaders = (scratch.save(spark.createDataFrame([], t)) for t in (pair, pair, led))
-    labels = scratch.save(spark.createDataFrame([], "rep long, component long"))
+    """(node, component) of the confirmed links between classes; see step 3 of the module."""
+    pair = "a long, b long"
     met = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.save(base.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    open_, width = members, 1
-    while True:
-        now = open_.join(labels, "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        now = scratch.save(now)
-        fresh = now.join(leaders, ["bucket", "rep"], "left_anti") if width > 1 else now
-        live = fresh.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-        live = scratch.save(live)
-        if live.isEmpty():
-            break
-        fresh = fresh.join(live, "bucket", "left_semi")
-        part = F.pmod(F.xxhash64("c", "bucket"), F.lit(width))
-        chosen = fresh.groupBy("bucket", part.alias("part")).agg(F.min(F.struct(F.xxhash64("rep", F.lit(7)), "rep", "n", "c")).alias("x"))
-        chosen = scratch.save(chosen.select("bucket", F.col("x.rep").alias("lead"), F.col("x.n").alias("lead_n"), F.col("x.c").alias("lead_c")))
-        pairs = now.join(chosen, "bucket").where(
-            (F.col("c") != F.col("lead_c")) & (den * F.least("n", "lead_n") >= num * F.greatest("n", "lead_n"))
-        )
-        pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-        if width > 1:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        sigs = reps.select("rep", "sig")
-        likely = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-        likely = scratch.save(likely.mapInArrow(_prune(n, num / den, miss), pair))
-        both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        found = scratch.save(both.mapInArrow(_confirm(k, num, den), pair))
-        old = edges, compared, leaders, labels
-        edges = scratch.save(edges.union(found))
-        compared = scratch.save(compared.union(pairs))
-        leaders = scratch.save(leaders.union(chosen.select("bucket", "lead")))
-        labels = components(scratch, edges).toDF("rep", "component")
-        scratch.free(*old, pairs, likely, found, chosen)
-        if open_ is not members:
-            scratch.free(open_)
-        open_ = scratch.save(now.join(live, "bucket", "left_semi").select("bucket", "rep", "n"))
-        scratch.free(now, live)
-        width *= 4
-    scratch.free(now, live, texts, compared, leaders)
-    return edges
+    texts = scratch.save(base.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"))
+    sigs = reps.select("rep", "sig")
+
+    degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
+    leads = members.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", "rep", "n")).alias("x"))
+    leads = scratch.save(leads.select("bucket", F.col("x.rep").alias("lead"), F.col("x.n").alias("lead_n")))
+    rest = members.join(leads, "bucket").where("rep <> lead")
+    pairs = rest.where(den * F.least("n", "lead_n") >= num * F.greatest("n", "lead_n"))
+    pairs = pairs.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+    likely = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b").mapInArrow(_prune(n, num / den, miss), pair)
+    both = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    edges = scratch.save(both.mapInArrow(_confirm(k, num, den), pair))
+    labels = components(scratch, edges)
+
+    now = rest.join(labels, rest["rep"] == labels["node"], "left")
+    now = scratch.save(now.select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c")))
+    parts = now.groupBy("bucket", "c").agg(F.count("*").alias("m"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda m: F.ceil(m / BLOCK).cast("int")
+    open_ = open_.select("bucket", F.col("x.c").alias("main"), blocks(F.col("m")).alias("right"), blocks(F.col("m") - F.col("x.m")).alias("left"))
+    rows = now.join(open_, "bucket").withColumn("out", F.col("c") != F.col("main"))
+    own = lambda many: F.pmod(F.xxhash64("rep", "bucket"), F.col(many)).cast("int")
+    upto = lambda many: F.sequence(F.lit(0), F.col(many) - 1)
+    at = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    places = F.concat(
+        F.transform(upto("left"), lambda i: at(i, own("right"), 1)),
+        F.when(F.col("out"), F.transform(upto("right"), lambda j: at(own("left"), j, 0))).otherwise(F.array()),
+    )
+    rows = rows.select("bucket", "rep", "n", "c", "out", F.explode(places).alias("x")).select("bucket", "x.*", "rep", "n", "c", "out")
+    rows = rows.join(sigs, "rep").join(texts, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    more = scratch.save(rows.mapInArrow(_settle(k, num, den, n, miss), pair))
+    scratch.free(now, leads)
+    if not more.isEmpty():
+        labels = components(scratch, edges.union(more))
+    scratch.free(texts, edges, more)
+    return labels
