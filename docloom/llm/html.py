@@ -42,7 +42,8 @@ OUTSIDE = set("nav header footer aside form script style noscript template ifram
 RAW = set("script style textarea title iframe noembed noframes xmp noscript".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-CLOSED_BY_OWN = set("p li dt dd tr td th option thead tbody tfoot".split())
+LISTS = set("ul ol dl menu table select".split())
+CLOSED_BY_OWN = set("li dt dd tr td th option thead tbody tfoot".split())
 #: Words in class, id or role that mark what is no main text.
 MARKS = set(
     "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter "
@@ -101,9 +102,11 @@ def blocks(page: str):
                 parts.append(" ")
                 continue
             flush()
+            if stack and stack[-1][0] == "p":  # a paragraph holds no blocks
+                stack.pop()
             if tag in CLOSED_BY_OWN and tag in (t for t, _ in stack):
                 last = max(i for i, (t, _) in enumerate(stack) if t == tag)
-                if not any(t in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote", "td") for t, _ in stack[last + 1 :]):
+                if not any(t in LISTS for t, _ in stack[last + 1 :]):
                     del stack[last:]
             inline.clear()
             path = (*(s for _, s in stack), _step(tag, attributes))

@@ -1,8 +1,8 @@
 """Near-duplicate vectors: binary codes by iterative quantisation, multi-index Hamming tables, exact rerank.
 
 Iterative quantisation learns, on a bounded sample, a rotation under which the
-signs of the centred vectors lose least; each bit is cut at its median, so that
-codes are balanced.  Several rotations from different starts give the bits of as
+signs of the centred vectors lose least; each bit is cut at its median over the
+sample's distinct vectors, so that codes are balanced.  Several rotations from different starts give the bits of as
 many tables as the wanted recall needs.  Every table keys a vector by ``width``
 bits of its code; the width follows the number of vectors, so that a key holds a
 few of them, and the number of tables follows from the width: a pair at the
@@ -38,6 +38,20 @@ BLOCK = 512
 MISS = 0.03
 
 
+def thin(sample: np.ndarray, threshold: float) -> np.ndarray:
+    """The unit vectors that are near no earlier one, so that a crowd of near copies weighs as one vector.
+
+    Else the median of a bit would lie within the crowd and part its members.
+    """
+    kept = np.empty((0, sample.shape[1]))
+    for at in range(0, len(sample), 256):
+        block = sample[at : at + 256]
+        block = block[(block @ kept.T).max(axis=1, initial=-1) < threshold]
+        near = np.tril(block @ block.T >= threshold, -1).any(axis=1)
+        kept = np.concatenate((kept, block[~near]))
+    return kept
+
+
 def learn(sample: np.ndarray, rotations: int, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rotation, cuts) pairs: bit j of x is (x @ rotation)[j] > cuts[j]."""
     out, dims = [], sample.shape[1]
@@ -220,7 +234,8 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, kind: s
     width, tables = plan(n, threshold)
     picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded
     x = np.array([r["embedding"] for r in picked], np.float64)
-    model = learn(x / np.linalg.norm(x, axis=1, keepdims=True), -(-width * tables // dims) if dims > 8 else 4)
+    x = thin(x / np.linalg.norm(x, axis=1, keepdims=True), threshold)
+    model = learn(x, -(-width * tables // dims) if dims > 8 else 4)
     coded = classes.mapInArrow(_encode(model, width, tables, kind), "rep long, many long, raw binary, code binary, keys array<long>")
     coded = scratch.save(coded)
     entries = coded.select("rep", F.posexplode("keys").alias("t", "key"))

@@ -120,7 +120,7 @@ def _exact_scores(query: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     q, d = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (query, data))
     scores = q.T.dot(d) if len(q) else np.zeros((query.shape[1], data.shape[1]), dtype=object)
     who, cand = np.indices(scores.shape).reshape(2, -1)
-    return who, cand, scores[who, cand]
+    return who, cand, np.clip(scores[who, cand], -(2**63), 2**63 - 1)
 
 
 def _search(k: int, order_of: dict[int, list[int]]):
@@ -157,7 +157,7 @@ def _search(k: int, order_of: dict[int, list[int]]):
                 if len(floors) > REMEMBERED:
                     floors.popitem(last=False)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[who]), pa.array(data_ids[cand]), pa.array([str(int(s)) for s in scores], pa.string())],
+                    [pa.array(ids[who]), pa.array(data_ids[cand]), pa.array([int(s) for s in scores], pa.int64())],
                     names=["query_id", "vec_id", "score"],
                 )
 
@@ -170,8 +170,8 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     ``vectors`` is (vec_id, embedding); ``is_query`` is the condition on vec_id
     that makes a row a query.  Candidates are all rows of the query's length but
     those of its own vec_id; rows that repeat a vec_id each count.  Null vectors
-    and ids, and vectors with null or non-finite components, take no part.  A
-    score beyond a long is the nearest long.  An empty table gives an empty one;
+    and ids, and vectors with null or non-finite components, take no part.  Scores
+    beyond a long are the nearest long, also for the order.  An empty table gives an empty one;
     other columns play no part.
     """
     spark = vectors.sparkSession
@@ -190,9 +190,6 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
     )
-    met = left.join(right, ["dim", "bucket"]).mapInArrow(_search(k, order_of), "query_id long, vec_id long, score string")
-    exact = F.col("score").cast("decimal(38,0)")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(exact.desc(), "vec_id"))
-    best = met.withColumn("rank", rank).where(F.col("rank") <= k)
-    long_ = F.least(F.greatest(exact, F.lit(-(2**63)).cast("decimal(38,0)")), F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
-    return best.select("query_id", "rank", "vec_id", long_.alias("score"))
+    met = left.join(right, ["dim", "bucket"]).mapInArrow(_search(k, order_of), "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
