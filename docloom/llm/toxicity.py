@@ -11,7 +11,8 @@ worst span: all spans of ``SPAN`` bytes, ``STRIDE`` apart, over the whole text.
 v starts at 1, which is plain naive Bayes, and is then fitted by logistic
 regression on each training text's worst span, chosen anew in each round, so
 that clean texts contribute their most suspicious spans.  A last logistic fit of
-slope and offset on all training texts turns sums into probabilities.
+slope and offset, on training texts that the weights haven't seen, turns sums
+into probabilities.
 
 Training reads at most ``per_class`` texts of either label, by hash of doc_id;
 that bound is the only sampling.  It runs in one task, and its model is an array
@@ -36,6 +37,8 @@ SPAN, STRIDE = 320, 160
 #: The most training texts of each label.
 PER_CLASS = 2500
 ROUNDS = 4
+#: Of so many training texts one is kept for the last logistic fit alone.
+CALIBRATION = 5
 #: A bucket that fewer training texts hold has no weight.
 LEAST_TEXTS = 5
 
@@ -88,9 +91,12 @@ class Model:
 
 def fit(texts: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
     """Trains on texts (UTF-8 bytes) and 0/1 labels; ``prior`` is the share of toxic texts in the corpus."""
-    size = 1 << BITS
+    size, everything = 1 << BITS, (texts, labels)
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(size, np.float32), 0.0, 30.0 if len(labels) and labels[0] else -30.0)
+    fitted = np.arange(len(texts)) % CALIBRATION > 0
+    if len(set(labels[fitted])) == len(set(labels[~fitted])) == 2:
+        texts, labels = [t for t, f in zip(texts, fitted) if f], labels[fitted]
     held = np.zeros((2, size))
     for raw, y in zip(texts, labels):
         held[y, np.unique(buckets(raw))] += 1
@@ -116,6 +122,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, prior: float) -> Model:
                 v[js] -= 0.1 * g / np.sqrt(squares[js])
                 bias -= 0.02 * (p - labels[i])
         model = Model((r * v).astype(np.float32))
+    if len(everything[0]) > len(texts):
+        texts, labels = [t for t, f in zip(everything[0], fitted) if not f], everything[1][~fitted]
+        n = np.bincount(labels, minlength=2)
     z = np.array([model.worst(buckets(raw))[0] for raw in texts])
     weight = np.where(labels == 1, prior / n[1], (1 - prior) / n[0]) * len(labels)
     centre, scale = z.mean(), z.std() + 1e-9
