@@ -25,8 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch, at most: a Python worker holds few of them, whatever a row weighs.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of a batch to these, unless they are lower."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python workers, once for each context."""
+    _small_batches(spark)
     context = spark.sparkContext
     if _own.get("shipped") != context.applicationId:
         package = Path(__file__).resolve().parents[1]
