@@ -167,7 +167,7 @@ def _observe():
                     row = rows["/".join(path)]
                     row[2] += len(text)
                     row[3] += links
-                of = np.array([hash((page_id, r[1])) & 0xFFFFFFFFFFFFFFFF for r in rows.values()], np.uint64)
+                of = np.array([hash((-1 if page_id is None else page_id, r[1])) & 0xFFFFFFFFFFFFFFFF for r in rows.values()], np.uint64)
                 for (path, r), h in zip(rows.items(), W.mix(of).view(np.int64).tolist()):
                     s = seen.setdefault((host, path), [0, 0, 0, 0])
                     s[0] += 1

@@ -12,12 +12,13 @@ by their sum and keeps the batches' names.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import Folder
+
 KEYS = ["source", "lang", "version"]
 
 
@@ -25,47 +26,20 @@ class TokenRollup:
     """The rollup in the folder ``path`` of any store that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-        for folder in ("delta", "commit", "fold"):
-            self._fs.mkdirs(self._at(folder))
-
-    def _at(self, name: str):
-        return self._hadoop.Path(f"{self.path}/{name}" if name else self.path)
-
-    def _names(self, folder: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)))
-
-    def _read(self, name: str) -> dict:
-        stream = self._fs.open(self._at(name))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def _create(self, name: str, content: dict) -> bool:
-        """Creates the file, unless it is there already."""
-        try:
-            stream = self._fs.create(self._at(name), False)
-        except Exception as e:
-            if self._fs.exists(self._at(name)):
-                return False
-            raise e
-        stream.write(json.dumps(content).encode())
-        stream.close()
-        return True
+        self.spark, self.files = spark, Folder(spark, path)
+        for name in ("delta", "commit", "fold"):
+            self.files.make(name)
 
     @staticmethod
     def _marker(batch: str) -> str:
         return f"commit/{batch.encode().hex()}"
 
     def _fold(self) -> dict:
-        folds = self._names("fold")
-        return self._read(f"fold/{folds[-1]}") if folds else {"batches": [], "delta": None}
+        folds = self.files.names("fold")
+        return self.files.read(f"fold/{folds[-1]}") if folds else {"batches": [], "delta": None}
 
     def committed(self) -> list[str]:
-        return [bytes.fromhex(n).decode() for n in self._names("commit")]
+        return [bytes.fromhex(n).decode() for n in self.files.names("commit")]
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of (source, lang, version, sign, tokens); False if it was committed before.
@@ -73,35 +47,38 @@ class TokenRollup:
         Nulls in the keys are keys of their own, null tokens count as 0, and rows
         of null sign are no change.  Repeated rows count each.
         """
-        if self._fs.exists(self._at(self._marker(batch))):
+        if self.files.exists(self._marker(batch)):
             return False
         sign = F.coalesce(F.col("sign").cast("long"), F.lit(0))
         delta = changes.groupBy(*KEYS).agg(F.sum(sign).alias("docs"), F.sum(sign * F.coalesce(F.col("tokens").cast("long"), F.lit(0))).alias("tokens"))
         folder = f"delta/{uuid.uuid4().hex}"
-        delta.write.parquet(f"{self.path}/{folder}")
-        won = self._create(self._marker(batch), {"delta": folder})
+        delta.write.parquet(f"{self.files.path}/{folder}")
+        won = self.files.create(self._marker(batch), {"delta": folder})
         if not won:
-            self._fs.delete(self._at(folder), True)
+            self.files.delete(folder)
         return won
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) of the keys that have either."""
+        return self._totals(self.files.names("commit"))
+
+    def _totals(self, commits: list[str]) -> DataFrame:
         fold = self._fold()
         done = set(fold["batches"])
-        folders = [self._read(f"commit/{n}")["delta"] for n in self._names("commit") if n not in done]
+        folders = [self.files.read(f"commit/{n}")["delta"] for n in commits if n not in done]
         folders += [fold["delta"]] if fold["delta"] else []
         schema = "source string, lang string, version string, docs long, tokens long"
         read = self.spark.read.schema(schema)
-        deltas = read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
+        deltas = read.parquet(*(f"{self.files.path}/{f}" for f in folders)) if folders else self.spark.createDataFrame([], schema)
         sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 
     def fold(self) -> None:
-        """Replaces the deltas of all batches so far by one."""
-        names, number = self._names("commit"), len(self._names("fold"))
+        """Replaces the deltas of all batches so far by one; one caller at a time."""
+        names, number = self.files.names("commit"), len(self.files.names("fold"))
         folder = f"delta/{uuid.uuid4().hex}"
-        self.totals().write.parquet(f"{self.path}/{folder}")
-        self._create(f"fold/{number:08d}", {"batches": names, "delta": folder})
+        self._totals(names).write.parquet(f"{self.files.path}/{folder}")
+        self.files.create(f"fold/{number:08d}", {"batches": names, "delta": folder})
 
 
 def signed(rows: DataFrame, sign: int, tokens, version: str) -> DataFrame:

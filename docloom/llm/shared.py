@@ -15,14 +15,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
+from ..sources.files import Folder, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='docloom-')}")
-    return base.rstrip("/")
+_shipped: set[str] = set()
 
 
 #: Rows and bytes of an Arrow batch, at most: a Python worker holds few of them, whatever a row weighs.
@@ -42,14 +37,14 @@ def ship(spark: SparkSession) -> SparkSession:
     """Sends this package to the executors' Python workers, once for each context."""
     _small_batches(spark)
     context = spark.sparkContext
-    if _own.get("shipped") != context.applicationId:
+    if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
         target = f"{tempfile.mkdtemp(prefix='docloom-')}/docloom.zip"
         with zipfile.ZipFile(target, "w") as z:
             for f in sorted(package.rglob("*.py")):
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(target)
-        _own["shipped"] = context.applicationId
+        _shipped.add(context.applicationId)
     return spark
 
 
@@ -58,25 +53,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = ship(spark)
-        self.root = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex[:12]}"
+        self.folder = Folder(spark, f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex[:12]}")
+        self.folder.make()
+        self.folder.delete_on_exit()
         self._n = 0
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)
+
+    @property
+    def root(self) -> str:
+        return self.folder.path
 
     def save(self, df: DataFrame) -> DataFrame:
         """Writes ``df`` and reads it back."""
         self._n += 1
-        path = f"{self.root}/{self._n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._docloom_path = path
+        df.write.option("compression", "zstd").parquet(f"{self.root}/{self._n}")
+        out = self.spark.read.schema(df.schema).parquet(f"{self.root}/{self._n}")
+        out._docloom_table = str(self._n)
         return out
 
     def free(self, *tables: DataFrame | None) -> None:
         """Deletes tables that nothing reads any more."""
         for df in tables:
-            path = getattr(df, "_docloom_path", None)
-            if path:
-                self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+            name = getattr(df, "_docloom_table", None)
+            if name:
+                self.folder.delete(name)
