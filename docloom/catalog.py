@@ -15,6 +15,7 @@ from .functions.fields import TaggedFields, TypedFields
 from .functions.values import Tag, encode, lift, u64
 from .operators import compaction as C
 from .operators import versions as V
+from .operators.ordering import ranked
 from .operators.traverse import HOP, traverse
 from .plans import query as Q
 from .plans.compiler import compile_filter, scan, sort_columns
@@ -190,10 +191,7 @@ def _sorted(name: str, sort: tuple[Q.SortField, ...], sql: str, mixed: bool = Fa
         else:
             df = _t(spark, sf_dir, "supplier")
             fields = TypedFields(df, id="s_suppkey")
-        from pyspark.sql import Window
-
-        place = F.row_number().over(Window.orderBy(*sort_columns(sort, fields)))
-        return df.select(keep, place.cast("long").alias("place"))
+        return ranked(df, sort_columns(sort, fields)).select(keep, "place")
 
     run.__name__ = name
     query(sql)(run)
