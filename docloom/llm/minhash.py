@@ -260,9 +260,11 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float) -> DataFrame:
     """(node, component) of the confirmed links between classes; see step 3 of the module."""
     pair = "a long, b long"
-    met = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = scratch.save(base.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"))
-    sigs = reps.select("rep", "sig")
+    met = members.select("rep").distinct()
+    # by hash at every size: the texts move once, and what moves grows with the input
+    texts = base.withColumnRenamed("doc_id", "rep").join(met.hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"])
+    known = scratch.save(reps.select("rep", "sig").join(met.hint("shuffle_hash"), "rep", "left_semi").join(texts, "rep"))
+    sigs, texts = known.select("rep", "sig"), known.select("rep", "text")
 
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
     leads = members.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", "rep", "n")).alias("x"))
@@ -290,10 +292,10 @@ def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members:
         F.when(F.col("out"), F.transform(upto("right"), lambda j: at(own("left"), j, 0))).otherwise(F.array()),
     )
     rows = rows.select("bucket", "rep", "n", "c", "out", F.explode(places).alias("x")).select("bucket", "x.*", "rep", "n", "c", "out")
-    rows = rows.join(sigs, "rep").join(texts, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    rows = rows.join(known, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
     more = scratch.save(rows.mapInArrow(_settle(k, num, den, n, miss), pair))
     scratch.free(now, leads)
     if not more.isEmpty():
         labels = components(scratch, edges.union(more))
-    scratch.free(texts, edges, more)
+    scratch.free(known, edges, more)
     return labels
