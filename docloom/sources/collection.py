@@ -17,6 +17,7 @@ from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -373,7 +374,7 @@ class Collection:
             rows = rows.where(compile_filter(q.filter, self.fields))
         rows = rows.observe(passed, F.count(F.lit(1)).alias("n"))
         out = [Document.of(r) for r in scan(rows, replace(q, filter=None), self.fields).collect()]
-        scanned, matched = read.get["n"], passed.get["n"]
+        scanned, matched = _seen(read), _seen(passed)
         timer.done(len(out) if index else scanned, len(out))
         if self.config.learn and at is None and index is None:
             self._learn(q, matched, len(out))
@@ -554,6 +555,14 @@ class Collection:
         self.flush()
 
 
+def _seen(rows: Observation) -> int:
+    """Rows that an action has passed; none where the optimizer saw that the result is empty."""
+    try:
+        return rows.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 def _freeze(row: tuple) -> list:
     """A buffered row as JSON: values as canonical text."""
     id_, version, deleted, fields = row

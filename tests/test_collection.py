@@ -81,7 +81,7 @@ def test_indexes_give_the_same_answers(spark, folder):
     assert ns(c.run(by_n)) == [51, 8, 7] and c.has_index(["n"])
     with c.snapshot() as s:
         assert s.scan(by_n).count() == 3
-    assert ns(c.run(Q.Scan(sort=(Q.SortField("n"),), limit=0))) == []
+    assert ns(c.run(Q.Scan(sort=(Q.SortField("n"),), limit=0))) == [] and ns(c.run(Q.Scan(Q.Or()))) == []
 
 
 def test_equal_keys_and_disjoint_partial_ranges(spark, folder):
