@@ -190,6 +190,8 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         "dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"),
         F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
     )
-    met = left.join(right, ["dim", "bucket"]).mapInArrow(_search(k, order_of), "query_id long, vec_id long, score long")
+    # never by broadcast: queries grow with the data, and each stands once per bucket;
+    # a merge join buffers the candidates of one bucket and streams the queries
+    met = right.hint("merge").join(left, ["dim", "bucket"]).mapInArrow(_search(k, order_of), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
