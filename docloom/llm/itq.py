@@ -5,10 +5,13 @@ signs of the centred vectors lose least; each bit is cut at its median over the
 sample's distinct vectors, so that codes are balanced.  Several rotations from different starts give the bits of as
 many tables as the wanted recall needs.  Every table keys a vector by ``width``
 bits of its code; the width follows the number of vectors, so that a key holds a
-few of them, and the number of tables follows from the width: a pair at the
-threshold agrees in a bit with probability 1 - angle / pi, hence in a table with
-its power, and there are so many tables that such a pair is missed with
-probability ``miss`` at most.
+few of them, and the number of tables follows from the width.  It is measured:
+cuts lie around the data's centre, where a pair at the threshold subtends a
+larger angle if vectors share a direction, so pairs of just the threshold's
+cosine are built from sampled vectors, and there are so many tables that a share
+``miss`` of them at most shares no key.  ``plan`` gives the number for vectors
+without a common direction; where twice as many are too few, keys get narrower,
+down to one key for all.
 
 Vectors of one key are compared as blocks: a hot key is split into blocks of
 ``BLOCK`` vectors and its pairs of blocks are dealt out, so no task holds a key.
@@ -36,6 +39,8 @@ SAMPLE = 8192
 ITERATIONS = 30
 BLOCK = 512
 MISS = 0.03
+#: Pairs of each kind that the recall is measured on.
+PROBES = 4096
 
 
 def thin(sample: np.ndarray, threshold: float) -> np.ndarray:
@@ -74,18 +79,71 @@ def plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
     return width, max(1, math.ceil(math.log(miss) / math.log1p(-agree)))
 
 
+def _bits(x: np.ndarray, model: list) -> np.ndarray:
+    return np.concatenate([x @ r > c for r, c in model], axis=1)
+
+
+def _picks(bits: int, width: int, tables: int) -> np.ndarray:
+    """The bits of each table's key."""
+    if bits < width * tables:  # short vectors: tables draw their bits
+        return np.random.default_rng(9).integers(0, bits, (tables, width))
+    return np.arange(width * tables).reshape(tables, width)
+
+
+def probes(x: np.ndarray, threshold: float, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of unit vectors of just the threshold's cosine: y lies in any direction from x, or towards another vector of x."""
+    rng, out = np.random.default_rng(seed), []
+    x = x[np.arange(max(len(x), PROBES)) % len(x)][:PROBES]
+    for way in (rng.standard_normal(x.shape), x[rng.permutation(len(x))]):
+        way = way - (way * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(way, axis=1)
+        some = size > 1e-6
+        if some.any():
+            out.append((x[some], threshold * x[some] + math.sqrt(1 - threshold**2) * way[some] / size[some, None]))
+    return out
+
+
+def fit(x: np.ndarray, held: np.ndarray, n: int, threshold: float, miss: float = MISS) -> tuple[list, int, int]:
+    """(model, width, tables) for n vectors, learnt on ``x``; tables suffice for pairs built from ``held``."""
+    (width, tables), dims = plan(n, threshold, miss), x.shape[1]
+    most = 2 * tables
+    model = learn(x, -(-width * tables // dims) if dims > 8 else 4)
+    pairs = probes(held, threshold) + probes(thin(held, threshold), threshold)  # as vectors lie, and with a crowd as one
+    agree = [_bits(a, model) == _bits(b, model) for a, b in pairs]
+
+    def enough(most: int) -> int:
+        """The least number of tables that meets the plan, 0 if more than ``most``."""
+        met = [np.zeros(len(g), bool) for g in agree]
+        for t, picks in enumerate(_picks(len(model) * dims, width, most)):
+            for m, g in zip(met, agree):
+                m |= g[:, picks].all(axis=1)
+            if t + 1 >= tables and all(m.mean() >= 1 - miss for m in met):
+                return t + 1
+        return 0
+
+    if dims > 8 and not enough(tables):
+        model += learn(x, -(-width * most // dims) - len(model), seed=3 + len(model))
+        agree = [_bits(a, model) == _bits(b, model) for a, b in pairs]
+    while width and not enough(most):
+        width, tables = width - 1, 1
+    return model, width, enough(most) if width else 1
+
+
 def keys(x: np.ndarray, model: list, width: int, tables: int) -> np.ndarray:
     """Key of each vector in each table."""
-    bits = np.concatenate([x @ r > c for r, c in model], axis=1)
-    picks = np.arange(width * tables).reshape(tables, width)
-    if bits.shape[1] < width * tables:  # short vectors: tables draw their bits
-        picks = np.random.default_rng(9).integers(0, bits.shape[1], (tables, width))
+    bits = _bits(x, model)
+    picks = _picks(bits.shape[1], width, tables)
     out = np.zeros((len(x), tables), np.int64)
     for b in range(width):
         out |= bits[:, picks[:, b]].astype(np.int64) << b
     return out
 
 
+def _code(width: int) -> str:
+    """The smallest type of a key."""
+    return "<u2" if width <= 16 else "<u4" if width <= 32 else "<i8"
+
+
 def _encode(model: list, width: int, tables: int, kind: str):
     def run(batches):
         for batch in batches:
@@ -95,7 +153,7 @@ def _encode(model: list, width: int, tables: int, kind: str):
             x = np.asarray(flat, np.float64).reshape(batch.num_rows, -1)
             k = keys(x / np.linalg.norm(x, axis=1, keepdims=True), model, width, tables)
             raw = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
-            code = pa.array([v.tobytes() for v in k.astype("<i8")], pa.binary())
+            code = pa.array([v.tobytes() for v in k.astype(_code(width))], pa.binary())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, tables), pa.int32()), pa.array(k.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("many"), raw, code, listed], names=["rep", "many", "raw", "code", "keys"])
 
@@ -148,7 +206,7 @@ def _span(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _link(threshold: float, kind: str):
+def _link(threshold: float, kind: str, width: int):
     """Links and spanning edges of each group of rows; rows come sorted by group and side."""
     names = ("t", "key", "i", "j", "side", "rep", "many")
 
@@ -160,9 +218,12 @@ def _link(threshold: float, kind: str):
         x = np.frombuffer(b"".join(table["raw"]), kind).reshape(len(group), -1).astype(np.float64)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         a, b = _pairs(group, ends, table["side"], table["i"] == table["j"], unit, threshold)
-        code = np.frombuffer(b"".join(table["code"]), "<i8").reshape(len(group), -1)
-        before = np.arange(code.shape[1]) < table["t"][a][:, None]
-        first = ~((code[a] == code[b]) & before).any(axis=1)
+        code = np.frombuffer(b"".join(table["code"]), _code(width)).reshape(len(group), -1)
+        first, step = np.ones(len(a), bool), max(1, (4 << 20) // code.shape[1])
+        for at in range(0, len(a), step):
+            p, q = a[at : at + step], b[at : at + step]
+            before = np.arange(code.shape[1]) < table["t"][p][:, None]
+            first[at : at + step] = ~((code[p] == code[q]) & before).any(axis=1)
         a, b = a[first], b[first]
         links = np.zeros(len(group), np.int64)
         np.add.at(links, a, table["many"][b])
@@ -231,11 +292,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, sample: int = SA
 
 def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, kind: str, threshold: float, sample: int) -> DataFrame:
     """(a, b, links) over classes of vectors of one length: links of a, or an edge where b isn't null."""
-    width, tables = plan(n, threshold)
     picked = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").collect()  # bounded
     x = np.array([r["embedding"] for r in picked], np.float64)
-    x = thin(x / np.linalg.norm(x, axis=1, keepdims=True), threshold)
-    model = learn(x, -(-width * tables // dims) if dims > 8 else 4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    part = len(x) // 5 if n > sample else 0  # of a true sample, a fifth is held out; else all vectors are learnt on
+    model, width, tables = fit(thin(x[part:], threshold), x[:part] if part else x, n, threshold)
     coded = classes.mapInArrow(_encode(model, width, tables, kind), "rep long, many long, raw binary, code binary, keys array<long>")
     coded = scratch.save(coded)
     entries = coded.select("rep", F.posexplode("keys").alias("t", "key"))
@@ -250,4 +311,4 @@ def _one_length(scratch: Scratch, classes: DataFrame, n: int, dims: int, kind: s
     )
     met = met.join(coded.drop("keys"), "rep")
     dealt = met.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "side")
-    return dealt.mapInArrow(_link(threshold, kind), "a long, b long, links long")
+    return dealt.mapInArrow(_link(threshold, kind, width), "a long, b long, links long")

@@ -150,6 +150,32 @@ def test_recall_at_the_threshold():
     assert np.abs(bits - 0.5).max() < 0.01
 
 
+@pytest.mark.parametrize("shared", [0.5, 0.69, 0.95])
+def test_recall_with_a_common_direction(spark, shared):
+    """Links at just the threshold are found as planned where all vectors share a mean direction."""
+    rng = np.random.default_rng(6)
+    n = 400 if shared > 0.9 else 3000
+    x = math.sqrt(shared) * np.eye(64)[0] + math.sqrt((1 - shared) / 64) * rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n, 64))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.901 * x + math.sqrt(1 - 0.901**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = list(enumerate(np.concatenate((x, y)).tolist()))
+    want = brute_links(rows)
+    got = {r["vec_id"]: r["n_links"] for r in itq.near_duplicates(vectors(spark, rows)).collect()}
+    found, all_ = sum(got.values()), sum(k for k, _ in want.values())
+    assert 0.95 * all_ <= found <= all_ and all(got[v] <= k for v, (k, _) in want.items())
+
+
+@pytest.mark.parametrize("dims", [1, 2, 8, 64])
+def test_tables_follow_from_measured_pairs(dims):
+    x = np.random.default_rng(8).standard_normal((500, dims)) + 1.0
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model, width, tables = itq.fit(x, x, 50_000, 0.9)
+    for a, b in itq.probes(x, 0.9, seed=11):
+        assert (itq.keys(a, model, width, tables) == itq.keys(b, model, width, tables)).any(axis=1).mean() >= 0.94
+
+
 # -- pipeline -----------------------------------------------------------------------------
 
 
