@@ -51,7 +51,9 @@ MARKS = set(
     "header footer comment comments commentlist reply replies disqus discussion widget toolbar pagination hidden".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*+>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Words that leave the name of a marked element what it is, as in site-header; others, as in has-sidebar, do not.
+PLACES = set("site page main global top bottom left right primary secondary sub list item area section box bar block slot unit".split())
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -59,7 +61,8 @@ def blocks(page: str):
     """(events, paths): text blocks in page order as (path, text, link characters), and counts of elements by path.
 
     A path is a tuple of steps; a step is a tag with its class, and starts with
-    "!" where the element holds no main text.
+    "!" where the element holds no main text by its class, id or role, and with
+    "!!" where it holds none by its tag or as hidden.
     """
     stack: list[tuple[str, str]] = []  # (tag, step) of open block elements
     inline: list[str] = []
@@ -132,15 +135,41 @@ def blocks(page: str):
                 inline.clear()
             path = tuple(s for _, s in stack)
     flush()
-    return out, counts
+    return _unmark(out, counts)
+
+
+def _unmark(texts: list, counts: dict) -> tuple[list, dict]:
+    """The same without class marks on what holds a main element or, if all articles lie in marked ones, an article."""
+    mains = [p for p in counts if _is_main(p[-1]) and not any(s.startswith("!!") for s in p)]
+    if any(not any(s.startswith("!") for s in p) for p in mains):
+        mains = [p for p in mains if p[-1].split(".")[0] == "main"]
+    bare = {p[:i] for p in mains for i in range(1, len(p)) if p[i - 1].startswith("!")}
+    if not bare:
+        return texts, counts
+    plain = lambda p: tuple(s.lstrip("!") if p[: i + 1] in bare else s for i, s in enumerate(p))
+    merged: dict[tuple[str, ...], int] = defaultdict(int)
+    for p, n in counts.items():
+        merged[plain(p)] += n
+    return [(plain(p), text, n) for p, text, n in texts], merged
+
+
+def _marked(name: str) -> bool:
+    """Whether a whole class name, id or role marks what is no main text."""
+    parts = {x for x in _PARTS.findall(name) if len(x) > 1}
+    return bool(parts & MARKS) and parts <= MARKS | PLACES
 
 
 def _step(tag: str, attributes: str) -> str:
-    named = {k.lower(): (a or b or c or "").lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-    marks = {x for k in ("class", "id", "role") for x in _PARTS.findall(named.get(k, ""))}
-    out = tag in OUTSIDE or "hidden" in named or bool(marks & MARKS) and tag not in ("html", "body", "article", "main")
-    main = "main" if "main" in _PARTS.findall(named.get("role", "")) else tag
-    return f"{'!' * out}{main}{'.' + '.'.join(sorted(_PARTS.findall(named['class']))) if named.get('class') else ''}"
+    named: dict[str, str] = {}
+    for k, a, b, c in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        named.setdefault(k.lower(), (a or b or c).strip().lower())
+    main = "main" if "main" in named.get("role", "").split() else tag
+    if tag in OUTSIDE or "hidden" in named or named.get("aria-hidden") == "true":
+        out = "!!"
+    else:
+        free = main in ("html", "body", "article", "main")
+        out = "!" * (not free and any(_marked(x) for k in ("class", "id", "role") for x in named.get(k, "").split()))
+    return f"{out}{main}{'.' + '.'.join(sorted(_PARTS.findall(named['class']))) if named.get('class') else ''}"
 
 
 def _is_main(step: str) -> bool:

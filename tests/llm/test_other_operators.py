@@ -42,6 +42,31 @@ def test_what_is_no_main_text_goes(spark, tag):
     assert got == {i: f"Title {i} one & <two> three four bold next block link item item {i}" for i in range(6)}
 
 
+KEPT = [
+    'div style="overflow:hidden"', 'div aria-hidden="false"', 'div title="a hidden gem"', 'div data-hidden="1"', 'div class="content has-sidebar"',
+    'div class="no-banner"', 'div id="with-comments"', 'div class="sidebar"', 'section class="related"',
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_attributes_that_hide_nothing(spark, tag):
+    texts = [(f"<body><{a}><{t}><p>text {i}</p></{t}></{a.split()[0]}></body>") for i, a in enumerate(KEPT) for t in (tag, f'{tag} style="overflow:hidden"')]
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", p) for i, p in enumerate(texts)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {i: f"text {i // 2}" for i in range(len(texts))}
+
+
+def test_attributes_that_hide():
+    gone = ["div hidden", 'div HIDDEN=""', 'p aria-hidden="true"', 'div class="x site-header"', "div id=comments", 'div role="navigation"', 'div class="ad ad-300x250"', 'div class="left sidebar"']
+    for a in gone:
+        texts, _ = html.blocks(f"<article><{a}>gone</{a.split()[0]}><p>kept</p></article>")
+        assert html.extract_text(texts, set(), set()) == "kept", a
+    for beside in ("related", "comment-list"):  # articles in marked elements beside the page's own
+        texts, _ = html.blocks(f'<article><p>kept</p></article><div class="{beside}"><article>gone</article></div>')
+        assert html.extract_text(texts, set(), set()) == "kept"
+    texts, _ = html.blocks('<body class="has-sidebar"><div class="content no-banner"><p>kept</p></div></body>')
+    assert html.extract_text(texts, set(), set()) == "kept"
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "x", ""), (3, "http://a/", "plain text"), (4, "http://a/", "<p>a<p>b</div></i> < c"), (4, "http://a/", "<p>a<p>b</div></i> < c"), (None, "http://a/", "<!-- open <p>x"), (5, "http://b/", "<article>" + "<p>w</p>" * 20_000), (6, "http://b/", "<div " * 3000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS template", "1 AS n_chars")
