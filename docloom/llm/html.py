@@ -15,12 +15,18 @@ between their tokens fills slots, a slot for each innermost template token
 around it.  Slots under a menu,
 header, footer, sidebar, notice, advert, form or comment section are template
 too.  Of the others, those under an article or main element are the main text;
-on a host whose template has neither, those are that aren't mostly links.  A
-page without any of its host's main slots is read by the same rule alone.
+on a host whose template has neither, those are that aren't mostly links.
+
+Text is part of the template too: a grouping element (``GROUPS``) with its path
+and all its text is a token, and where it stands on ``SUPPORT`` of a host's pages
+and on ``SEVERAL`` at least, it is left out.  Pages of the same text count once
+here, so that copies of a page are no template, and what holds an article or
+main element stays.  A page that would be left empty keeps such text.  A page without any of its host's main slots is read by the same rule alone.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import defaultdict
@@ -34,6 +40,8 @@ from . import words as W
 from .shared import Scratch
 
 SUPPORT = 0.5
+#: Pages of different text that repeat an element's text, at least, for it to be the template's.
+SEVERAL = 3
 #: A slot with a larger share of its characters in links is a list of links.
 LINKS = 0.5
 
@@ -44,6 +52,8 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 LISTS = set("ul ol dl menu table select".split())
 CLOSED_BY_OWN = set("li dt dd tr td th option thead tbody tfoot".split())
+#: Elements that group blocks, whose text is compared between pages.
+GROUPS = set("div section ul ol dl table fieldset figure details address center blockquote".split())
 #: Words in class, id or role that mark what is no main text.
 MARKS = set(
     "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent notice alert popup modal overlay newsletter "
@@ -64,7 +74,14 @@ def blocks(page: str):
     "!" where the element holds no main text by its class, id or role, and with
     "!!" where it holds none by its tag or as hidden.
     """
+    return _read(page)[:2]
+
+
+def _read(page: str):
+    """What ``blocks`` gives, and (depth, start, end) of each grouping element: the places of its blocks."""
     stack: list[tuple[str, str]] = []  # (tag, step) of open block elements
+    begun: list[int] = []  # their first blocks
+    spans: list[tuple[int, int, int]] = []
     inline: list[str] = []
     counts: dict[tuple[str, ...], int] = defaultdict(int)
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -79,6 +96,12 @@ def blocks(page: str):
         parts.clear()
         links = 0
 
+    def close(depth: int) -> None:
+        for d in range(len(stack), depth, -1):
+            if stack[d - 1][0] in GROUPS and begun[d - 1] < len(out):
+                spans.append((d, begun[d - 1], len(out)))
+        del stack[depth:], begun[depth:]
+
     def add(raw: str) -> None:
         nonlocal links
         text = _html.unescape(raw)
@@ -106,11 +129,11 @@ def blocks(page: str):
                 continue
             flush()
             if stack and stack[-1][0] == "p":  # a paragraph holds no blocks
-                stack.pop()
+                close(len(stack) - 1)
             if tag in CLOSED_BY_OWN and tag in (t for t, _ in stack):
                 last = max(i for i, (t, _) in enumerate(stack) if t == tag)
                 if not any(t in LISTS for t, _ in stack[last + 1 :]):
-                    del stack[last:]
+                    close(last)
             inline.clear()
             path = (*(s for _, s in stack), _step(tag, attributes))
             counts[path] += 1
@@ -118,6 +141,7 @@ def blocks(page: str):
                 path = tuple(s for _, s in stack)
             else:
                 stack.append((tag, path[-1]))
+                begun.append(len(out))
             if tag in RAW:
                 low = page.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
@@ -131,11 +155,45 @@ def blocks(page: str):
             flush()
             places = [i for i, (t, _) in enumerate(stack) if t == tag]
             if places:
-                del stack[places[-1] :]
+                close(places[-1])
                 inline.clear()
             path = tuple(s for _, s in stack)
     flush()
-    return _unmark(out, counts)
+    close(0)
+    return *_unmark(out, counts), spans
+
+
+_PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E687
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def text_tokens(texts: list, spans: list) -> tuple[int, list[int | None]]:
+    """(a hash of the page's text, the token of each span); a token is a hash of the element's path and blocks."""
+    sums, powers, shown = [0], [1], [0]
+    for path, text, _ in texts:
+        h = _digest("/".join(path) + "\n" + text)
+        out = any(s.startswith("!") for s in path)
+        sums.append((sums[-1] * _BASE + h) % _PRIME)
+        powers.append(powers[-1] * _BASE % _PRIME)
+        shown.append(shown[-1] if out else (shown[-1] * _BASE + _digest(text)) % _PRIME)
+    tokens: list[int | None] = []
+    for depth, start, end in spans:
+        path = texts[start][0][:depth]
+        inner = (sums[end] - sums[start] * powers[end - start]) % _PRIME
+        tokens.append(None if any(s.startswith("!") for s in path) else _digest("/".join(path) + f"\n{end - start} {inner}"))
+    return shown[-1], tokens
+
+
+def without(texts: list, spans: list, repeated: set[int]) -> list:
+    """The blocks that lie in no element of the repeated tokens."""
+    gone: set[int] = set()
+    for (depth, start, end), token in zip(spans, text_tokens(texts, spans)[1] if repeated else ()):
+        if token in repeated and not any(_is_main(s) for p, _, _ in texts[start:end] for s in p[depth:]):
+            gone.update(range(start, end))
+    return [b for i, b in enumerate(texts) if i not in gone]
 
 
 def _unmark(texts: list, counts: dict) -> tuple[list, dict]:
@@ -182,14 +240,20 @@ def _host(url: str | None) -> str:
 
 
 def _observe():
-    """By host and path, combined within a batch: pages, vector hash, characters, characters in links."""
+    """By host and path, combined within a batch: pages, vector hash, characters, characters in links.
+
+    And by host, without a path: tokens of text with the page's text; a null token for the page itself.
+    """
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple[str, str], list[int]] = {}
+            said: dict[tuple[str, int | None, int], None] = {}
             for page_id, url, page in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                 host = _host(url)
-                texts, counts = blocks(page or "")
+                texts, counts, spans = _read(page or "")
+                whole, tokens = text_tokens(texts, spans)
+                said |= dict.fromkeys((host, t, whole) for t in [None, *(t for t in tokens if t is not None)])
                 rows = {"/".join(p): [1, n, 0, 0] for p, n in counts.items()}
                 rows[""] = [1, 1, 0, 0]  # the page itself
                 for path, text, links in texts:
@@ -203,10 +267,17 @@ def _observe():
                     s[1] ^= h
                     s[2] += r[2]
                     s[3] += r[3]
+            empty, zero = [None] * len(said), [0] * len(said)
+            of, tokens, wholes = zip(*said) if said else ((), (), ())
             hosts, paths = zip(*seen) if seen else ((), ())
+            some = [None] * len(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), *(pa.array([s[i] for s in seen.values()], pa.int64()) for i in range(4))],
-                names=["host", "path", "pages", "vector", "chars", "links"],
+                [
+                    pa.array([*hosts, *of], pa.string()), pa.array([*paths, *empty], pa.string()),
+                    *(pa.array([s[i] for s in seen.values()] + zero, pa.int64()) for i in range(4)),
+                    pa.array([*some, *tokens], pa.int64()), pa.array([*some, *wholes], pa.int64()),
+                ],
+                names=["host", "path", "pages", "vector", "chars", "links", "token", "whole"],
             )
 
     return run
@@ -252,15 +323,17 @@ def extract_text(texts: list, slots: set[str], main: set[str]) -> str:
 
 def _extract():
     def run(batches):
-        known: dict[str, tuple[set[str], set[str]]] = {}
+        known: dict[str, tuple[set[str], set[str], set[int]]] = {}
         for batch in batches:
             out = []
-            for host, page, template in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template"))):
+            for host, page, template, repeated in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "template", "repeated"))):
                 if host not in known:
                     if len(known) > 10_000:
                         known.clear()
-                    known[host] = main_slots(template or [])
-                out.append(extract_text(blocks(page or "")[0], *known[host]))
+                    known[host] = (*main_slots(template or []), set(repeated or []))
+                *slots, same = known[host]
+                texts, _, spans = _read(page or "")
+                out.append(extract_text(without(texts, spans, same), *slots) or extract_text(texts, *slots))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -280,8 +353,9 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     scratch = Scratch(spark, "html")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    seen = base.mapInArrow(_observe(), "host string, path string, pages long, vector long, chars long, links long")
-    tokens = seen.groupBy("host", "path").agg(
+    seen = base.mapInArrow(_observe(), "host string, path string, pages long, vector long, chars long, links long, token long, whole long")
+    seen = scratch.save(seen)
+    tokens = seen.where("path is not null").groupBy("host", "path").agg(
         F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
     )
     tokens = scratch.save(tokens)
@@ -291,7 +365,14 @@ def extract(pages: DataFrame) -> DataFrame:
     # a token on half of the pages or more: their number follows the pages' size, not their count
     classes = valid.groupBy("host", "vector", "pages").agg(F.sort_array(F.collect_list(F.struct("path", "chars", "links"))).alias("tokens"))
     template = classes.groupBy("host").agg(F.sort_array(F.collect_list("tokens")).alias("template"))
-    template = scratch.save(template)
+    # pages of different text by token; few tokens are on several
+    said = seen.where("path is null").select("host", "token", "whole").distinct().groupBy("host", "token").agg(F.count("*").alias("n"))
+    said = scratch.save(said.where((F.col("n") >= SEVERAL) | F.col("token").isNull()))
+    texts = said.where("token is null").select("host", F.col("n").alias("all_n"))
+    repeated = said.where("token is not null").join(texts, "host").where(F.col("n") >= SUPPORT * F.col("all_n"))
+    repeated = repeated.groupBy("host").agg(F.sort_array(F.collect_list("token")).alias("repeated"))
+    template = scratch.save(template.join(repeated, "host", "left"))
+    scratch.free(seen, said)
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#]*@)?([^/?#:@]*)", 1)
     rows = base.withColumn("host", F.lower(host)).join(template, "host", "left")
     return rows.mapInArrow(_extract(), "page_id long, url string, text string, n_chars long")

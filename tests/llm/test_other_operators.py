@@ -42,6 +42,22 @@ def test_what_is_no_main_text_goes(spark, tag):
     assert got == {i: f"Title {i} one & <two> three four bold next block link item item {i}" for i in range(6)}
 
 
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_text_that_all_pages_repeat_goes(spark, tag):
+    same = '<div class="c7"><p>same sentence</p></div>'
+    page = "<body>{s}<{t}><h1>Title {n}</h1><p>text {n}</p><p>said by all</p>{s}<ul><li>all alike</ul></{t}><section><div>imprint</div></section></body>"
+    rows = [(i, "http://h.example/", page.format(s=same, t=tag, n=i)) for i in range(4)]
+    rows += [(10 + i, "http://copies.example/", page.format(s=same, t="div", n=0)) for i in range(4)]  # one text
+    rows += [(20 + i, "http://two.example/", page.format(s=same, t="article", n=i)) for i in range(2)]
+    rows += [(30, "http://h.example/", f"<body>{same}</body>"), (31, "http://h.example/", page.format(s="<div class='c7'><p>other</p></div>", t=tag, n=31))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i} text {i} said by all" for i in range(4)]
+    assert {got[10 + i] for i in range(4)} == {"same sentence Title 0 text 0 said by all same sentence all alike imprint"}
+    assert [got[20 + i] for i in range(2)] == [f"Title {i} text {i} said by all same sentence all alike" for i in range(2)]
+    assert got[30] == "same sentence" and got[31] == ("other " * (tag == "div")) + "Title 31 text 31 said by all other"
+
+
 KEPT = [
     'div style="overflow:hidden"', 'div aria-hidden="false"', 'div title="a hidden gem"', 'div data-hidden="1"', 'div class="content has-sidebar"',
     'div class="no-banner"', 'div id="with-comments"', 'div class="sidebar"', 'section class="related"',
