@@ -7,8 +7,9 @@ of the templates; a hit at document word d and template word t votes for the
 diagonal d - t.  Hits are aggregated by document, template and diagonal.  A
 phrase stands where all its runs vote on one diagonal.  In notices, words may be
 put in or left out, which moves the rest to a neighbouring diagonal; so
-diagonals at most ``DRIFT`` apart are merged, and a merged span is verified: it
-must hold at least ``COVER`` of the notice's runs.
+diagonals at most ``DRIFT`` apart, or half of a longer notice's runs, are merged,
+and a merged span is verified: it must hold at least ``COVER`` of the notice's
+runs, each once and in the notice's order.
 
 The pass over the texts writes, for each document, its number of words and those
 runs whose hash some template may have, by a bit table of the template hashes
@@ -18,6 +19,8 @@ themselves.  The template table is fixed in size, so it may be broadcast.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -134,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
     votes = found.join(F.broadcast(table), ["k", "hash", "run"])  # the table is that of this module
     diagonals = votes.groupBy("row", "template", "label", "base", (F.col("at") - F.col("position")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("at").alias("low"), (F.max(F.col("at") + F.col("k")) - 1).alias("high"),
-        F.min("position").alias("first_run"), F.max("position").alias("last_run"),
+        F.collect_list(F.when(~F.col("base"), F.struct("at", (-F.col("position")).alias("back")))).alias("runs_at"),
     ).join(F.broadcast(size), "template")
     spans = scratch.save(_spans(diagonals))
     by_row = spans.groupBy("row").agg(
@@ -159,12 +162,29 @@ def _spans(diagonals: DataFrame) -> DataFrame:
     exact = diagonals.where(F.col("base") & (F.col("votes") == F.col("runs"))).withColumn("share", F.lit(1.0)).select(*kept)
     one = Window.partitionBy("row", "template").orderBy("diagonal", "low")
     near = diagonals.where(~F.col("base")).withColumn("step", F.col("diagonal") - F.lag("diagonal").over(one))
-    # a new span starts at a far diagonal, or where the template would be read again
-    new = F.coalesce(F.col("step") > DRIFT, F.lit(True)).cast("int")
+    new = F.coalesce(F.col("step") > F.greatest(F.lit(DRIFT), F.floor(F.col("runs") / 2)), F.lit(True)).cast("int")
     near = near.withColumn("span", F.sum(new).over(one))
     merged = near.groupBy("row", "template", "label", "base", "span").agg(
-        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("runs").alias("runs")
-    )
-    share = F.least(F.lit(1.0), F.col("votes") / F.col("runs"))
-    merged = merged.withColumn("share", share).where(F.col("share") >= COVER)
+        F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.first("runs").alias("runs"),
+        F.array_sort(F.flatten(F.collect_list("runs_at"))).alias("runs_at"),
+    )
+    merged = merged.where(F.col("votes") >= COVER * F.col("runs")).select("row", "template", "label", "base", "low", "high", "runs", "runs_at")
+    types = dict(merged.dtypes)
+    merged = merged.mapInArrow(_shares, ", ".join(f"{c} {types.get(c, 'double')}" for c in kept)).where(F.col("share") >= COVER)
     return exact.unionByName(merged.select(*kept))
+
+
+def in_order(positions: list[int]) -> int:
+    """The most positions that rise strictly, in the order given."""
+    ends: list[int] = []
+    for p in positions:
+        i = bisect_left(ends, p)
+        ends[i : i + 1] = [p]
+    return len(ends)
+
+
+def _shares(batches):
+    for batch in batches:
+        share = [in_order([-h["back"] for h in hits]) / runs for hits, runs in zip(batch.column("runs_at").to_pylist(), batch.column("runs").to_pylist())]
+        columns = ["row", "template", "label", "base", "low", "high"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(share, pa.float64())], names=[*columns, "share"])

@@ -363,5 +363,22 @@ def test_notices_with_words_put_in_or_left_out(spark, odd):
     assert license.scan(odd).count() == len(ODD)
 
 
+def test_notices_drift_with_their_length_and_count_runs_once(spark):
+    mit, bsd = license.NOTICES["notice-mit"].split(), license.NOTICES["notice-bsd"].split()
+    some = [f"w{i}" for i in range(12)]
+    texts = [
+        mit[:30] + some[:4] + mit[30:], mit[:30] + some + mit[30:], bsd[:10] + some[:4] + bsd[10:],
+        mit[:20] + some + mit[:8] + mit[20:],  # some words of the notice among those put in
+        (mit[:12] + ["and"]) * 6,  # the same part again and again
+        mit[45:] + mit[20:45] + mit[:20],  # the notice's parts backwards
+        mit[:12] + some + mit + some + mit[:30],
+    ]
+    df = spark.createDataFrame([(i, " ".join(t), "s", "en", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan(df).collect()}
+    assert [got[i][0] for i in range(7)] == ["notice-mit", "notice-mit", "notice-bsd", "notice-mit", "", "", "notice-mit"]
+    assert all(0.6 <= got[i][1] < 1 for i in range(4)) and got[6][1] == 1.0
+    assert license.in_order([3, 1, 2, 2, 5, 4]) == 3 and license.in_order([]) == 0
+
+
 def test_results_are_plain_json(spark):
     assert json.dumps(queries.op9_license_scan(spark, SF).limit(1).toJSON().first() or "")
