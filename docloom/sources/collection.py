@@ -54,6 +54,7 @@ class Config:
     w_cooldown_seconds: float = 900.0
     flush_bytes: int = 16 << 20
     compaction_threads: int = 4
+    inline_compaction: bool = False  # after a flush, where no background compaction runs
     learn: bool = True
     clock: Callable[[], float] = field(default=time.time)
 
@@ -239,7 +240,7 @@ class Collection:
 
     def _append_frame(self, docs: DataFrame, feed: tuple[str, int] | None = None) -> None:
         with self._lock:
-            self.flush()
+            self._flush()
             version = F.lit(self._version + 1) + F.monotonically_increasing_id()
             segment = self._write(docs.select(ID, version.alias(VERSION), DELETED, "fields"), parts=None)
             if segment:
@@ -250,12 +251,26 @@ class Collection:
                 self._feeds[feed[0]] = feed[1]
             if segment or feed is not None:
                 self._commit()
+            if segment:
+                self._after_flush()
 
     def flush(self) -> None:
-        """Moves the buffered writes into a segment."""
+        """Moves the buffered writes into a segment; compaction follows if it runs in the background or inline."""
+        with self._lock:
+            if self._flush():
+                self._after_flush()
+
+    def _after_flush(self) -> None:
+        """One compaction at most, in the background if that runs, else only if the configuration wants it inline."""
+        if self._pool is not None:
+            self.signal_compaction()
+        elif self.config.inline_compaction:
+            self.compact()
+
+    def _flush(self) -> bool:
         with self._lock:
             if not self._buffer:
-                return
+                return False
             written = self._write(self._buffered(), self.config.segment_partitions)
             self._segments.append(written[0])
             old, self._log_from = self._log_from, self._log_next
@@ -263,6 +278,7 @@ class Collection:
             self._buffer = []
             for n in range(old, self._log_from):
                 self.files.delete(f"log/{n:012d}.json")
+            return True
 
     def _write(self, rows: DataFrame, parts: int | None) -> tuple[C.Segment, int] | None:
         name = f"segment/{uuid.uuid4().hex}"
@@ -409,7 +425,7 @@ class Collection:
     def build_index(self, fields: list[str], predicate: Q.Filter | dict | None = None) -> X.Index:
         """Builds an index over the latest documents (never over a snapshot's) and commits it."""
         with self._lock:
-            self.flush()
+            self._flush()
             f = X.load_filter(predicate) if isinstance(predicate, dict) else predicate
             docs = self.frame()
             if f is not None:
@@ -449,14 +465,17 @@ class Collection:
         return C.UnifiedPolicy(self.scaling.w, self.config.flush_bytes)
 
     def compact(self, transform: C.CompactionFilter | None = None) -> bool:
-        """Merges the group that the policy picks; False if there is none."""
-        if self.config.adaptive:
-            self.scaling.adjust()
-        pick = self.policy().pick(self._segments)
-        if pick is None:
-            return False
-        self.merge_segments(list(pick.segments), transform)
-        return True
+        """Merges the group that the policy picks and tends the indexes; False if there is none."""
+        with self._lock:
+            if self.config.adaptive:
+                self.scaling.adjust()
+            pick = self.policy().pick(self._segments)
+            if pick is None:
+                return False
+            self.merge_segments(list(pick.segments), transform)
+            if self._indexes:
+                self.maintain_indexes()
+            return True
 
     def merge_segments(self, segments: list[C.Segment], transform: C.CompactionFilter | None = None) -> None:
         with self._lock:
@@ -552,7 +571,7 @@ class Collection:
         if self._pool is not None:
             self._pool.shutdown()
             self._pool = None
-        self.flush()
+        self._flush()
 
 
 def _seen(rows: Observation) -> int:

@@ -166,3 +166,22 @@ def test_background_compaction(spark, folder):
     c.wait_for_compaction()
     assert c.segment_count == 1 and c.compaction_stats.runs == 1 and c.versions().count() == 3
     c.close()
+
+
+@pytest.mark.parametrize("inline", [True, False])
+def test_flushes_compact_and_tend_indexes(spark, folder, inline):
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False, inline_compaction=inline, flush_bytes=1 << 20))
+    if not inline:
+        c.start_background_compaction()
+    ids = fill(c)
+    c.build_index(["category"])
+    for n in range(4):
+        c.put({"n": 100 + n, "category": "books"}, ids[n])
+        c.flush()
+    c.put_frame(spark.createDataFrame([(ids[9], 9, "books")], "id string, n long, category string"), "id")
+    c.wait_for_compaction()
+    assert c.segment_count < 6 and c.compaction_stats.runs > 0
+    assert len(c.indexes) == 1 and set(c.indexes[0].covers) & {s.name for s in c.segments}
+    assert sorted(ns(c.run(Q.Scan(Q.Eq("category", "books"))))) == [5, 7, 9, 100, 101, 102, 103]
+    c.verify()
+    c.close()
