@@ -12,13 +12,21 @@ documents.  So one distributed aggregation combines each partition's tokens by
 source, and the Newton iterations then run for all sources at once, as a fold
 over each source's row on whichever executor holds it.
 
+Targets need the level up to which sources are filled, which Newton steps on a
+concave piecewise linear function find, each an aggregation over the sources.
+
 Rates become whole copies.  Each document of a source gets floor(rate) copies;
-the tokens still missing come from one more copy of the documents whose hashed
-id lies under a threshold.  The threshold is found exactly by three passes of a
-4096-bin histogram of the hash, each inside the crossing bin of the last, so no
-task ever sorts or holds a source.  The few tokens short of the crossing
-document are filled by a greedy choice among a bounded number of documents, the
-largest of each size class.
+the tokens still missing come from one more copy of the documents whose hash (of
+id, source and text) lies under a threshold.  The threshold is found exactly by
+three passes of a 4096-bin histogram of the hash, each inside the crossing bin
+of the last, so no task ever sorts or holds a source.  The few tokens short of
+the crossing document are filled by a greedy choice among a bounded number of
+documents, the largest of each size class.
+
+Rows that are alike in id, source and text are numbered, and their hash holds
+their number, so that each of them is drawn by itself.  Numbers are counted task
+by task from sums by task, so a row that stands there a million times is no
+group of any task; as such rows are alike, it doesn't matter which has which.
 """
 
 from __future__ import annotations
@@ -26,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import ranked
 from .shared import Scratch
 
 #: No target is over so many times its source's size, nor any document's copies.
@@ -39,31 +48,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
 
-def source_targets(sizes: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
+def source_targets(scratch: Scratch, sizes: DataFrame, cycle: int = 3, most: int = MOST) -> DataFrame:
     """Adds ``target`` to (source, source_size), a row per source.
 
     Sources by code point, null last, weigh 1 .. ``cycle`` in turn and share all
     tokens; where a share is over ``most`` times the source, the source gets
-    that much and the excess is shared anew by weight.  The sources that end up
-    limited are a prefix in order of size / weight: a source is limited exactly
-    if the level that the others would share without it exceeds its own ratio.
+    that much and the excess is shared anew by weight.  So a source's target is
+    min(most * size, level * weight), with the level at which targets sum to all
+    tokens; from below, Newton steps reach it exactly once no further source is
+    limited.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("weight", F.pmod(F.row_number().over(order) - 1, F.lit(cycle)) + 1)
-    weighed = weighed.withColumn("ratio", most * F.col("source_size") / F.col("weight"))
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    all_ = Window.partitionBy()
-    weighed = weighed.withColumns({
-        "total": F.sum("source_size").over(all_),
-        "taken_before": F.coalesce(F.sum("source_size").over(before), F.lit(0)) * most,
-        "weight_left": F.sum("weight").over(all_) - F.coalesce(F.sum("weight").over(before), F.lit(0)),
-    })
-    weighed = weighed.withColumn("level", (F.col("total") - F.col("taken_before")) / F.col("weight_left"))
-    weighed = weighed.withColumn("limited", F.col("ratio") <= F.col("level"))
-    free = F.min(F.when(~F.col("limited"), F.struct("ratio", "level"))).over(all_)["level"]
-    limit = (most * F.col("source_size")).cast("double")
-    target = F.when(F.col("limited"), limit).otherwise(F.least(free * F.col("weight"), limit))
-    return weighed.select("source", "source_size", target.cast("double").alias("target"))
+    order = [F.col("source").asc_nulls_last()]
+    weighed = ranked(sizes, order).select("source", "source_size", (F.pmod(F.col("place") - 1, F.lit(cycle)) + 1).alias("weight"))
+    weighed = scratch.save(weighed)
+    limit = most * F.col("source_size")
+    total, weights = (x or 0 for x in weighed.agg(F.sum("source_size"), F.sum("weight")).first())
+    level, limited = total / max(1, weights), 0
+    while True:
+        r = weighed.where(limit / F.col("weight") <= level).agg(F.count("*").alias("n"), F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+        if r["n"] == limited or r["weight"] == weights:
+            break
+        level, limited = (total - most * r["size"]) / (weights - r["weight"]), r["n"]
+    return weighed.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), limit.cast("double")).alias("target"))
 
 
 def _newton(size: Column, target: Column) -> Column:
@@ -72,13 +78,26 @@ def _newton(size: Column, target: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
 
 
-def _rows(docs: DataFrame, *more: Column) -> DataFrame:
-    # the hash in [0, 2 ** 36), read in three digits of 12 bits
-    unit = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(42)), 64 - 3 * _BINS)
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"), unit.alias("u"), *more,
-    )
+def _rows(scratch: Scratch, docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, size, u, seq) and ``more`` for each row; u is its hash in [0, 2 ** 36), read in three digits of 12 bits."""
+    id_, source, text = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    key = F.xxhash64(blank(id_), blank(source), blank(text), F.lit(42))
+    rows = docs.select(id_.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("seq"), *more)
+    rows = scratch.save(rows)
+    again = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    task = F.shiftright("seq", 33).alias("task")  # of monotonically_increasing_id
+    alike = scratch.save(rows.join(again, "key").select("key", task, "seq"))
+    if alike.isEmpty():
+        unit = F.col("key")
+    else:
+        upto = Window.partitionBy("key").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+        before = alike.groupBy("key", "task").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(upto), F.lit(0)))
+        within = alike.withColumn("n", F.row_number().over(Window.partitionBy("key", "task").orderBy("seq")))
+        numbers = scratch.save(within.join(before, ["key", "task"]).select("seq", (F.col("n") + F.col("before")).alias("number")))
+        rows = rows.join(numbers, "seq", "left")
+        unit = F.when(F.col("number") > 1, F.xxhash64("key", "number")).otherwise(F.col("key"))
+    return rows.withColumn("u", F.shiftrightunsigned(unit, 64 - 3 * _BINS))
 
 
 def _plan(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,7 +107,7 @@ def _plan(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     are chosen instead (``flip``), so that small documents to choose from remain.
     """
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = source_targets(sizes)
+    plan = source_targets(scratch, sizes)
     rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.exp(_newton(F.col("source_size").cast("double"), F.col("target")))).otherwise(0.0)
     plan = plan.withColumn("rate", F.least(F.lit(float(MOST)), rate))
     # a rate within rounding of a whole number is that number
@@ -106,9 +125,8 @@ def _plan(scratch: Scratch, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _decide(rows: DataFrame, plan: DataFrame, fill: DataFrame) -> DataFrame:
     """``rows`` with the columns of their source's plan and the number of copies, n."""
     plan = plan.withColumnRenamed("source", "name")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("name")))
-    out = out.join(fill, (F.col("doc_id") == F.col("fill_id")) & F.col("source").eqNullSafe(F.col("fill_source")) & (F.col("size") == F.col("fill_size")), "left")
-    chosen = (F.col("u") < F.col("cut")) | F.col("fill_id").isNotNull()
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("name"))).join(fill, "seq", "left")
+    chosen = (F.col("u") < F.col("cut")) | F.col("filled").isNotNull()
     extra = F.when(chosen != F.col("flip"), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.least(F.lit(MOST), F.col("copies") + extra)).otherwise(0)
     return out.withColumn("n", copies.cast("long"))
@@ -119,23 +137,25 @@ def mix(docs: DataFrame) -> DataFrame:
 
     ``size`` is the number of words (a null text has none), ``taken`` is size *
     copies.  Null is a source of its own; documents without words have no copies;
-    rows that repeat a doc_id share its hash and so are drawn together; a null
-    doc_id is drawn like any other.  An empty table gives an empty one; other
-    columns of ``docs`` play no part.
+    each of several rows alike, and of rows that repeat a doc_id or have none, is
+    drawn by itself.  An empty table gives an empty one; other columns of
+    ``docs`` play no part.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.save(_rows(docs))
+    rows = _rows(scratch, docs)
     out = _decide(rows, *_plan(scratch, rows))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("n")).alias("taken"), F.col("n").alias("copies"), "source")
 
 
 def remix(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as :func:`mix` has copies of it."""
+    """The rows of ``docs``, with all their columns, each as often as :func:`mix` has copies of it.
+
+    They are written once, beside their sizes and hashes, so that all passes
+    read the same rows, whatever ``docs`` is.
+    """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.save(_rows(docs))
-    plan, fill = _plan(scratch, rows)
-    scratch.free(rows)
-    out = _decide(_rows(docs, F.struct("*").alias("row")), plan, fill)
+    rows = _rows(scratch, docs, F.struct("*").alias("row"))
+    out = _decide(rows, *_plan(scratch, rows.drop("row")))
     out = out.where("n > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))))
     return out.select("row.*")
 
@@ -164,16 +184,15 @@ def _thresholds(scratch: Scratch, base: DataFrame, plan: DataFrame) -> DataFrame
 
 
 def _fill(base: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents that take up what the thresholds leave short: greedily, the largest of each quarter octave of sizes."""
+    """Rows that take up what the thresholds leave short: greedily, the largest of each quarter octave of sizes."""
     open_ = base.join(plan.select(F.col("source").alias("name"), "cut", "short"), F.col("source").eqNullSafe(F.col("name")))
-    open_ = open_.where((F.col("u") >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("short")) & F.col("doc_id").isNotNull())
+    open_ = open_.where((F.col("u") >= F.col("cut")) & (F.col("size") > 0) & (F.col("size") <= F.col("short")))
     best = open_.groupBy("name", F.floor(4 * F.log2("size")).alias("class"), F.col("u") % 2).agg(
-        F.max(F.struct("size", "doc_id")).alias("x"), F.first("short").alias("short")
+        F.max(F.struct("size", "u", "seq")).alias("x"), F.first("short").alias("short")
     )
     lists = best.groupBy("name").agg(F.sort_array(F.collect_list("x"), asc=False).alias("xs"), F.first("short").alias("short"))
-    start = F.struct(F.col("short").alias("left"), F.array().cast("array<struct<size:bigint,doc_id:bigint>>").alias("got"))
+    start = F.struct(F.col("short").alias("left"), F.array().cast("array<bigint>").alias("got"))
     take = lambda s, x: F.when(
-        x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["got"], F.array(x)).alias("got"))
+        x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["got"], F.array(x["seq"])).alias("got"))
     ).otherwise(s)
-    chosen = lists.select("name", F.explode(F.aggregate("xs", start, take)["got"]).alias("x"))
-    return chosen.select(F.col("x.doc_id").alias("fill_id"), F.col("name").alias("fill_source"), F.col("x.size").alias("fill_size")).distinct()
+    return lists.select(F.explode(F.aggregate("xs", start, take)["got"]).alias("seq"), F.lit(True).alias("filled"))

@@ -10,8 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, packing
+from docloom.llm import binary, bpe, mixing, packing
 from docloom.llm.bpe import encoder
+from tests.llm.test_text_operators import water_level
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,3 +65,36 @@ def test_packing_of_very_long_texts(spark):
             assert (row[a:b] == want[d][start : start + b - a]).all()
             found[d] = found.get(d, 0) + b - a
     assert found == {d: len(ids) for d, ids in want.items()}
+
+
+# -- mixing ------------------------------------------------------------------------------
+
+DOCS = "doc_id long, text string, source string, lang string, n_chars long"
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+@pytest.mark.parametrize("alike", [True, False])
+def test_mix_draws_rows_of_one_id_each(spark, doc_id, alike):
+    """200 rows of no id or of one id, of one text or of many, beside a source that takes the larger share."""
+    rows = [(doc_id, "w " * 9 + ("x" if alike else f"x{i}"), "a", None, None) for i in range(200)]
+    rows += [(1000 + i, "v " * 5, "b", None, None) for i in range(47)]
+    got = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(5)).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        mine = [r for r in got if r["source"] == source]
+        target, taken = mine[0]["target"], sum(r["taken"] for r in mine)
+        assert abs(taken - target) <= 10 and max(r["taken"] - 3 * r["size"] for r in mine) <= 0
+    again = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3)).collect()
+    plain = lambda rs: sorted((r["doc_id"] or 0, r["size"], r["taken"], r["source"]) for r in rs)
+    assert plain(got) == plain(again)
+    out = mixing.remix(spark.createDataFrame(rows, DOCS).repartition(5))
+    assert out.groupBy("source").count().count() == 2 and out.count() == sum(r["copies"] for r in got)
+
+
+def test_mix_of_many_sources(spark):
+    """Targets are those of the water level where sources are limited one after the other."""
+    sizes = {f"s{i:03d}": 1 + (i * i * 37) % 997 for i in range(150)} | {None: 20_000}
+    rows = [(i, "w " * n, s, None, None) for i, (s, n) in enumerate(sizes.items())]
+    got = {r["source"]: r["target"] for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
+    want = water_level(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
