@@ -11,16 +11,19 @@
     most of a group of near copies falls into one component at about one
     comparison each.  Then only members outside their bucket's largest component
     are compared with those of other components, in blocks of at most ``BLOCK``
-    a side, dealt out over tasks and compared as arrays; a task verifies the most
-    similar pairs first and skips what its findings have joined already.  Every
-    pair of a bucket is compared or in one component, so no component is lost,
-    and what leaves a task is at most one link for each member.
+    a side, dealt out over tasks and compared as arrays.  Signatures alone move
+    first; only members that a pair has left move again, with their texts, and a
+    task then verifies the most similar pairs first and skips what its findings
+    have joined already.  Every pair of a bucket is compared or in one component,
+    so no component is lost, and what leaves a task is at most one link for each
+    member.
 4.  A pair's signatures are compared in batches.  After n values with m equal
     the posterior of the similarity s under a uniform prior is
     Beta(m + 1, n - m + 1); the pair is dropped as soon as
     P(s >= threshold) < ``miss``.  Survivors are confirmed on their full sets in
     integers.
-5.  Confirmed links give connected components.
+5.  Confirmed links give connected components.  A doc_id that stands on several
+    texts is one document, so their classes are linked too.
 
 A pair at the threshold of 0.8 shares no band with probability
 (1 - 0.8 ** rows) ** bands, 2e-5 by default.
@@ -81,8 +84,8 @@ def _sign(k: int, n: int):
                     second.append(int(W.mix(found ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)))
                     signs.append(signature(found, n).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.binary())],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(signs, pa.binary())],
+                names=["doc_id", "digest", "n_shingles", "set_a", "set_b", "sig"],
             )
 
     return run
@@ -160,24 +163,63 @@ def _confirm(k: int, num: int, den: int):
     return run
 
 
+def _alive(left: list[dict], right: list[dict], num: int, den: int, n: int, looks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place on the left, place on the right, equal values) of the pairs of two blocks that their signatures leave."""
+    size_l, size_r, c_l, c_r, id_l, id_r = (np.array([r[c] for r in side]) for c in ("n", "c", "rep") for side in (left, right))
+    fit = (c_l[:, None] != c_r) & (den * np.minimum(size_l[:, None], size_r) >= num * np.maximum(size_l[:, None], size_r))
+    # a pair of two outliers stands in two blocks
+    a, b = np.nonzero(fit & (~np.array([r["out"] for r in right]) | (id_l[:, None] < id_r)))
+    sig_l, sig_r = (np.frombuffer(b"".join(r["sig"] for r in side), "<u2").reshape(-1, n) for side in (left, right))
+    equal, seen = np.zeros(len(a), np.int64), 0
+    for at, least in looks:
+        equal = equal + (sig_l[a, seen:at] == sig_r[b, seen:at]).sum(axis=1)
+        a, b, equal, seen = a[equal >= least], b[equal >= least], equal[equal >= least], at
+    return a, b, equal
+
+
+def _by_block(work):
+    """Runs ``work(left, right)`` on each pair of blocks; rows come sorted by bucket, i, j and side."""
+
+    def run(batches):
+        group, rows = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["bucket"], r["i"], r["j"]) != group:
+                    yield from sides(rows)
+                    group, rows = (r["bucket"], r["i"], r["j"]), []
+                rows.append(r)
+        yield from sides(rows)
+
+    def sides(rows: list[dict]):
+        left, right = ([r for r in rows if r["side"] == side] for side in (0, 1))
+        if left and right:
+            yield from work(left, right)
+
+    return run
+
+
+def _sift(num: int, den: int, n: int, miss: float):
+    """The members of each pair of blocks that some pair of signatures leaves."""
+    looks = [(at, least_matches(at, num / den, miss)) for at in [*range(BATCH, n, BATCH), n]]
+    kinds = {"bucket": pa.int64(), "i": pa.int32(), "j": pa.int32(), "side": pa.int32(), "rep": pa.int64(), "n": pa.int64(), "c": pa.int64(), "out": pa.bool_()}
+
+    def work(left: list[dict], right: list[dict]):
+        a, b, _ = _alive(left, right, num, den, n, looks)
+        kept = [left[i] for i in np.unique(a)] + [right[i] for i in np.unique(b)]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in kept], t) for c, t in kinds.items()], names=list(kinds))
+
+    return _by_block(work)
+
+
 def _settle(k: int, num: int, den: int, n: int, miss: float):
-    """Links between the components of a bucket, from its blocks; rows come sorted by block pair and side."""
+    """Links between the components of a bucket, from its blocks."""
     looks = [(at, least_matches(at, num / den, miss)) for at in [*range(BATCH, n, BATCH), n]]
 
-    def one(rows: list[dict], found: list[tuple[int, int]]) -> None:
-        left, right = ([r for r in rows if r["side"] == side] for side in (0, 1))
-        if not left or not right:
-            return
-        size_l, size_r, c_l, c_r, id_l, id_r = (np.array([r[c] for r in side]) for c in ("n", "c", "rep") for side in (left, right))
-        fit = (c_l[:, None] != c_r) & (den * np.minimum(size_l[:, None], size_r) >= num * np.maximum(size_l[:, None], size_r))
-        # a pair of two outliers stands in two blocks
-        a, b = np.nonzero(fit & (~np.array([r["out"] for r in right]) | (id_l[:, None] < id_r)))
-        sig_l, sig_r = (np.frombuffer(b"".join(r["sig"] for r in side), "<u2").reshape(-1, n) for side in (left, right))
-        equal, seen = np.zeros(len(a), np.int64), 0
-        for at, least in looks:
-            equal = equal + (sig_l[a, seen:at] == sig_r[b, seen:at]).sum(axis=1)
-            a, b, equal, seen = a[equal >= least], b[equal >= least], equal[equal >= least], at
+    def work(left: list[dict], right: list[dict]):
+        a, b, equal = _alive(left, right, num, den, n, looks)
         up: dict[int, int] = {}
+        found: list[tuple[int, int]] = []
 
         def top(v: int) -> int:
             while up.setdefault(v, v) != v:
@@ -193,77 +235,126 @@ def _settle(k: int, num: int, den: int, n: int, miss: float):
             return sets[side, i]
 
         for o in np.argsort(-equal, kind="stable").tolist():
-            u, v = top(int(c_l[a[o]])), top(int(c_r[b[o]]))
+            u, v = top(left[a[o]]["c"]), top(right[b[o]]["c"])
             if u != v and _linked(shingles(0, a[o]), shingles(1, b[o]), num, den):
                 up[u] = v
-                found.append((int(id_l[a[o]]), int(id_r[b[o]])))
-
-    def run(batches):
-        group, rows, found = None, [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (r["bucket"], r["i"], r["j"]) != group:
-                    if rows:
-                        one(rows, found)
-                    group, rows = (r["bucket"], r["i"], r["j"]), []
-                rows.append(r)
-        if rows:
-            one(rows, found)
+                found.append((left[a[o]]["rep"], right[b[o]]["rep"]))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return run
+    return _by_block(work)
 
 
-def near_duplicates(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, miss: float = MISS
+_SAME = ["set_a", "set_b", "n_shingles"]
+
+
+def _resolve(
+    scratch: Scratch, docs: DataFrame, k: int, num: int, den: int, bands: int, rows: int, miss: float, whole: bool
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+    """(doc_id, digest, n_shingles, component, first_id) of each row; component is null where there are no words.
 
-    Documents whose sets of k-word shingles have a Jaccard similarity of at
-    least num / den are linked; component_id is the smallest doc_id reachable.
-    Null texts and texts without words have n_shingles 0 and are linked with
-    nothing.  Rows that repeat a doc_id are one document and get equal rows; a
-    null doc_id is in no component (component_id null) and kept.  An empty table
-    gives an empty one.  Other columns of ``docs`` play no part.
+    ``digest`` is a hash of the text, ``first_id`` the least doc_id of the
+    component.  Rows without doc_id take part only if ``whole``.
     """
-    spark, n = docs.sparkSession, bands * rows
-    scratch = Scratch(spark, "minhash")
+    n = bands * rows
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.save(base.mapInArrow(_sign(k, n), "doc_id long, n_shingles long, set_a long, set_b long, sig binary"))
-    same = ["set_a", "set_b", "n_shingles"]
-    classes = scratch.save(signed.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = signed.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    reps = scratch.save(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep"]))
-
-    banded = reps.mapInArrow(_band(bands, rows), "key long, rep long, n long")
+    base = base.withColumn("digest", F.xxhash64("text"))
+    signed = scratch.save(base.mapInArrow(_sign(k, n), "doc_id long, digest long, n_shingles long, set_a long, set_b long, sig binary"))
+    some = signed.where("n_shingles > 0" if whole else "n_shingles > 0 and doc_id is not null")
+    # a class by its set; the row of least doc_id and digest stands for it
+    classes = some.groupBy(*_SAME).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x"))
+    classes = scratch.save(classes.select(*_SAME, "x.doc_id", "x.digest", F.monotonically_increasing_id().alias("rep")))
+    reps = classes.select("rep", "doc_id", "digest")
+    mine = lambda df: df["doc_id"].eqNullSafe(reps["doc_id"]) & (df["digest"] == reps["digest"])
+    signs = signed.where("n_shingles > 0").join(reps, mine(signed)).select(reps["rep"], F.col("n_shingles").alias("n"), "sig")
+    signs = scratch.save(signs.dropDuplicates(["rep"]))
+
+    banded = signs.mapInArrow(_band(bands, rows), "key long, rep long, n long")
     met = banded.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
     met = scratch.save(met.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"))
     members = scratch.save(banded.join(met, "key").select(F.col("key").alias("bucket"), "rep", "n"))
     scratch.free(met)
-    labels = _verify_buckets(scratch, base, reps, members, k, num, den, n, miss)
-    scratch.free(members, reps)
+    edges = _verify_buckets(scratch, base, signs, reps, members, k, num, den, n, miss)
+    scratch.free(members, signs)
+
+    # a doc_id of several sets is one document
+    set_ = F.struct(*_SAME)
+    several = some.where("doc_id is not null").groupBy("doc_id").agg(F.min(set_).alias("low"), F.max(set_).alias("high")).where("low <> high")
+    several = scratch.save(several.select("doc_id"))
+    if not several.isEmpty():
+        theirs = some.join(several, "doc_id").join(classes.select(*_SAME, "rep"), _SAME).select("doc_id", "rep")
+        least = theirs.groupBy("doc_id").agg(F.min("rep").alias("a"))
+        edges = edges.union(theirs.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+    labels = components(scratch, edges)
+
+    found = classes.join(labels.toDF("rep", "component"), "rep", "left").select(*_SAME, "doc_id", F.coalesce("component", "rep").alias("component"))
+    found = scratch.save(found)
+    first = found.groupBy("component").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("m"))
+    linked = found.join(first.where("m > 1").select("component", "first_id"), "component", "left")
+    linked = linked.select(*_SAME, "component", F.coalesce("first_id", "doc_id").alias("first_id"))
+    return signed.drop("sig").join(linked, _SAME, "left").select("doc_id", "digest", "n_shingles", "component", "first_id")
 
-    classes = classes.join(labels.toDF("rep", "component"), "rep", "left")
-    classes = classes.select(*same, F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("sig").join(classes, same, "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+
+def near_duplicates(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, miss: float = MISS
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    Documents whose sets of k-word shingles have a Jaccard similarity of at
+    least num / den are linked; component_id is the smallest doc_id reachable.
+    Null texts and texts without words have n_shingles 0 and are linked with
+    nothing.  Rows that repeat a doc_id are one document, by all of their texts,
+    and each has its own n_shingles; a null doc_id is in no component
+    (component_id null) and kept.  An empty table gives an empty one.  Other
+    columns of ``docs`` play no part.
+    """
+    out = _resolve(Scratch(docs.sparkSession, "minhash"), docs, k, num, den, bands, rows, miss, whole=False)
+    # rows without words may repeat the doc_id of a row with some
+    named = out.where("doc_id is not null and component is not null").groupBy("doc_id").agg(F.min("first_id").alias("own"))
+    bare = out.where("doc_id is not null and component is null")
+    bare = bare.join(named, "doc_id", "left").withColumn("component_id", F.coalesce("own", "doc_id")).drop("own")
+    rest = out.where("doc_id is null or component is not null")
+    rest = rest.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("first_id")))
+    out = rest.unionByName(bare)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, with all their columns, but for documents that :func:`near_duplicates` doesn't keep."""
-    gone = near_duplicates(docs, **settings).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each group of near copies: that of the smallest doc_id.
 
-
-def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float) -> DataFrame:
-    """(node, component) of the confirmed links between classes; see step 3 of the module."""
+    Here rows without doc_id are copies like others, and of rows that repeat a
+    doc_id or stand there several times one stays, too; rows without words are
+    copies of nothing and all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    out = scratch.save(_resolve(scratch, docs, k, num, den, bands, rows, miss, whole=True).where("component is not null"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    first = out.groupBy("component").agg(F.min(row).alias("x"), F.count("*").alias("m")).where("m > 1")
+    pairs = out.groupBy("doc_id", "digest").agg(F.first("component").alias("component"), F.count("*").alias("times"))
+    pairs = pairs.join(first, "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("digest") == F.col("x.digest"))
+    gone = scratch.save(pairs.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")))
+    twice = scratch.save(pairs.where(stays & (F.col("times") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")))
+    id_, digest = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    same = lambda other: id_.eqNullSafe(other["gone_id"]) & (digest == other["gone"])
+    left = docs.join(gone, same(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    alike = docs.join(twice, same(twice), "left_semi").withColumns({"_id": id_, "_digest": digest}).dropDuplicates(["_id", "_digest"]).drop("_id", "_digest")
+    return left.join(twice, same(twice), "left_anti").union(alike)
+
+
+def _verify_buckets(
+    scratch: Scratch, base: DataFrame, signs: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float
+) -> DataFrame:
+    """Confirmed links (a, b) between classes, which span their components; see step 3 of the module."""
     pair = "a long, b long"
     met = members.select("rep").distinct()
     # by hash at every size: the texts move once, and what moves grows with the input
-    texts = base.withColumnRenamed("doc_id", "rep").join(met.hint("shuffle_hash"), "rep", "left_semi").dropDuplicates(["rep"])
-    known = scratch.save(reps.select("rep", "sig").join(met.hint("shuffle_hash"), "rep", "left_semi").join(texts, "rep"))
+    wanted = reps.join(met.hint("shuffle_hash"), "rep", "left_semi")
+    mine = base["doc_id"].eqNullSafe(wanted["doc_id"]) & (base["digest"] == wanted["digest"])
+    texts = base.join(wanted.hint("shuffle_hash"), mine).select("rep", "text").dropDuplicates(["rep"])
+    known = scratch.save(signs.select("rep", "sig").join(met.hint("shuffle_hash"), "rep", "left_semi").join(texts, "rep"))
     sigs, texts = known.select("rep", "sig"), known.select("rep", "text")
 
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
@@ -292,10 +383,8 @@ def _verify_buckets(scratch: Scratch, base: DataFrame, reps: DataFrame, members:
         F.when(F.col("out"), F.transform(upto("right"), lambda j: at(own("left"), j, 0))).otherwise(F.array()),
     )
     rows = rows.select("bucket", "rep", "n", "c", "out", F.explode(places).alias("x")).select("bucket", "x.*", "rep", "n", "c", "out")
-    rows = rows.join(known, "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
-    more = scratch.save(rows.mapInArrow(_settle(k, num, den, n, miss), pair))
-    scratch.free(now, leads)
-    if not more.isEmpty():
-        labels = components(scratch, edges.union(more))
-    scratch.free(known, edges, more)
-    return labels
+    dealt = lambda df: df.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    left = dealt(rows.join(sigs, "rep")).mapInArrow(_sift(num, den, n, miss), "bucket long, i int, j int, side int, rep long, n long, c long, out boolean")
+    more = scratch.save(dealt(scratch.save(left).join(known, "rep")).mapInArrow(_settle(k, num, den, n, miss), pair))
+    scratch.free(now, leads, known)
+    return edges.union(more)

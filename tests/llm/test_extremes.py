@@ -7,10 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, mixing, packing
+from docloom.llm import binary, bpe, itq, minhash, mixing, packing
 from docloom.llm.bpe import encoder
 from tests.llm.test_text_operators import water_level
 
@@ -98,3 +99,92 @@ def test_mix_of_many_sources(spark):
     got = {r["source"]: r["target"] for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect()}
     want = water_level(sizes)
     assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+# -- near duplicates ---------------------------------------------------------------------
+
+
+def prose(seed, n=60):
+    rng = random.Random(seed)
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_a_doc_id_of_two_texts_links_by_both(spark):
+    t, u = " ".join(prose(1)), " ".join(prose(2))
+    rows = [(5, t), (5, u), (6, t + " word"), (7, u + " word"), (8, " ".join(prose(3))), (9, ""), (9, t), (None, t), (None, "x y z"), (4, None)]
+    docs = spark.createDataFrame([(d, x, "s", str(i), 0) for i, (d, x) in enumerate(rows)], DOCS)
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, k=4).collect())
+    assert got == [
+        (0, 1, None, True), (0, 57, None, True), (4, 0, 4, True), (5, 57, 5, True), (5, 57, 5, True), (6, 58, 5, False), (7, 58, 5, False),
+        (8, 57, 8, True), (9, 0, 5, False), (9, 57, 5, False),
+    ]
+    left = minhash.drop_near_duplicates(docs, k=4)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.where("text <> ''").collect()) == sorted([(0, "x y z"), (5, min(t, u, key=lambda x: spark.range(1).select(F.xxhash64(F.lit(x))).first()[0])), (8, " ".join(prose(3)))])
+    assert left.where("coalesce(text, '') = ''").count() == 2
+
+
+def test_repeated_rows_and_rows_without_id_leave_one(spark):
+    t = " ".join(prose(4))
+    rows = [(None, t)] * 300 + [(3, t + " z")] * 300 + [(2, "a b c d e f")] * 2 + [(None, "p q r s t")] * 2
+    left = minhash.drop_near_duplicates(spark.createDataFrame([(d, x, "s", str(i), 0) for i, (d, x) in enumerate(rows)], DOCS).repartition(3))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left.collect()) == [(0, "p q r s t"), (2, "a b c d e f"), (3, t + " z")]
+
+
+def test_unlike_members_of_a_bucket_move_without_texts(spark):
+    """Members whose signatures differ in all but the buckets' band are sifted out before texts are joined."""
+    rng = np.random.default_rng(1)
+    n = minhash.BANDS * minhash.ROWS
+    looks = minhash._sift(80, 100, n, minhash.MISS)
+    sig = rng.integers(0, 1 << 16, (40, n)).astype("<u2")
+    sig[:, :6] = 1
+    rows = [{"bucket": 1, "i": 0, "j": 0, "side": int(i >= 20), "rep": i, "n": 100, "c": i, "out": True, "sig": sig[i].tobytes()} for i in range(40)]
+    assert list(looks([pa.RecordBatch.from_pylist(rows)])) == []
+    rows[30]["sig"] = rows[3]["sig"]
+    (kept,) = looks([pa.RecordBatch.from_pylist(rows)])
+    assert kept.column("rep").to_pylist() == [3, 30]
+
+
+# -- vectors -----------------------------------------------------------------------------
+
+
+def test_vectors_of_huge_and_tiny_components(spark):
+    """Cosines of finite vectors don't over- or underflow."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((6, 16))
+    near = x + rng.standard_normal((6, 16)) * 0.05
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(np.concatenate((x, near)), [1e-200, 1e200, 1e-300, 1e300, 1.0, 1e-310] * 2))]
+    rows += [(20, [1e-200] * 16), (21, [5e-324] + [0.0] * 15), (22, [1.7e308] * 16)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (1, i % 6) for i in range(12)} | {20: (1, 20), 21: (0, 21), 22: (1, 20)}
+
+
+def test_spanning_edges():
+    rng = np.random.default_rng(5)
+    for n, m in ((1, 0), (50, 30), (200, 150), (300, 5000)):
+        a, b = rng.integers(0, n, (2, m))
+        a, b = a[a != b], b[a != b]
+        top = list(range(n))
+
+        def find(v):
+            while top[v] != v:
+                v = top[v]
+            return v
+
+        kept = itq._span(a, b, n)
+        for e in kept.tolist():
+            assert find(a[e]) != find(b[e])
+            top[find(a[e])] = find(b[e])
+        assert all(find(p) == find(q) for p, q in zip(a.tolist(), b.tolist()))
+
+
+def test_only_near_codes_are_sifted_in():
+    rng = np.random.default_rng(6)
+    code = rng.integers(0, 2, (6, 8, 9))
+    code[:, 3] = code[0, 3]  # all share the key of table 3 only
+    code[1], code[1, 0] = code[0], 1 - code[0, 0]  # near, and first met in table 1
+    for t, want in ((1, [0, 1]), (3, [])):
+        words = (code << np.arange(9)).sum(axis=2).astype("<u2")
+        rows = [{"cell": 8 * int(words[0, t]) + t, "i": 0, "j": 0, "side": 0, "rep": r, "code": words[r].tobytes()} for r in range(6)]
+        (kept,) = itq._sift(9, 20)([pa.RecordBatch.from_pylist(rows)])
+        assert kept.column("rep").to_pylist() == want
