@@ -283,16 +283,60 @@ def test_rollup_commits_count_once(spark, folder):
     assert state() == {("a", 2, 10)} and not again.commit("b/2", rows)
     assert again.commit("empty", rows.limit(0)) and state() == {("a", 2, 10)}
     docs = spark.createDataFrame([("a", "en", 1, 4), ("a", "en", 2, 2)], "source string, lang string, old long, new long")
-    assert again.commit("rev", rollup.revised(docs, F.col("old"), F.col("new"), "v1")) and state() == {("a", 2, 13)}
+    assert again.commit("rev", rollup.revised(docs, F.lit(1), F.col("old"), F.col("new"), "v1")) and state() == {("a", 2, 13)}
 
 
-def test_rollup_query_as_sql(spark):
-    import duckdb
+def brute_rollup(rows):
+    """Totals of (doc_id, text, source, lang) by the libraries themselves, a text once, the second with an end token."""
+    import base64
 
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
-    got = queries.op5_token_rollup(spark, SF)
-    want = duckdb.sql(queries.ORACLE_SQL["op5_token_rollup"])
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    one = Tokenizer.from_file(PATH)
+    one.encode_special_tokens = True
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    two = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    seen, totals = set(), {}
+    for _, text, source, lang in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        if text is not None and text in seen:
+            continue
+        seen.add(text)
+        for version, n in (("byte_bpe_50k", len(one.encode(text or "", add_special_tokens=False).ids)), ("byte_bpe_multi_50k", len(two.encode_ordinary(text or "")) + 1)):
+            d, t = totals.get((source, lang, version), (0, 0))
+            totals[source, lang, version] = d + 1, t + n
+    return {(*k, *v) for k, v in totals.items()}
+
+
+def rollup_of(spark, folder, df):
+    df.write.parquet(f"{folder}/documents.parquet")
+    return {tuple(r) for r in queries.op5_token_rollup(spark, folder).select("source", "lang", "version", "docs", "tokens").collect()}
+
+
+def test_rollup_query_as_by_brute_force(spark, folder):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert rollup_of(spark, f"{folder}/a", docs) == brute_rollup([tuple(r) for r in docs.select("doc_id", "text", "source", "lang").collect()])
+
+
+def test_rollup_query_of_odd_rows(spark, folder, odd, none):
+    rows = [(r[0], r[1], r[2], r[3]) for r in ODD]
+    rows += [(100 + i, "the same text", "abc"[i % 3], "en") for i in range(50)] + [(50, "the same text", "b", None), (None, "the same text", None, None), (60, None, "b", "en")]
+    df = spark.createDataFrame([(d, t, s, lang, 0) for d, t, s, lang in rows], SCHEMA).withColumns({c: F.lit("x") for c in ("digest", "tokens", "sign", "version", "n")})
+    assert rollup_of(spark, f"{folder}/a", df.repartition(3)) == brute_rollup(rows)
+    assert rollup_of(spark, f"{folder}/b", none) == set()
+
+
+def test_two_commits_of_one_batch_at_once(spark, folder):
+    """Of attempts at the same time exactly one counts, in each of several rounds."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = spark.createDataFrame([("a", "en", "v", 1, 10)], "source string, lang string, version string, sign int, tokens long")
+    states = [rollup.TokenRollup(spark, f"{folder}/r") for _ in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        for n in range(6):
+            assert sum(pool.map(lambda s: s.commit(f"batch-{n}", rows), states)) == 1
+    assert [tuple(r) for r in states[0].totals().select("docs", "tokens").collect()] == [(6, 60)] and len(states[0].committed()) == 6
 
 
 # -- binary output -------------------------------------------------------------------------------
