@@ -71,16 +71,18 @@ def test_attributes_that_hide_nothing(spark, tag):
     assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == {i: f"text {i // 2}" for i in range(len(texts))}
 
 
+def text_of(page):
+    """The text of a page whose host has no template."""
+    return html.extract_text(html.read(page), set(), set(), set())
+
+
 def test_attributes_that_hide():
     gone = ["div hidden", 'div HIDDEN=""', 'p aria-hidden="true"', 'div class="x site-header"', "div id=comments", 'div role="navigation"', 'div class="ad ad-300x250"', 'div class="left sidebar"']
     for a in gone:
-        texts, _ = html.blocks(f"<article><{a}>gone</{a.split()[0]}><p>kept</p></article>")
-        assert html.extract_text(texts, set(), set()) == "kept", a
+        assert text_of(f"<article><{a}>gone</{a.split()[0]}><p>kept</p></article>") == "kept", a
     for beside in ("related", "comment-list"):  # articles in marked elements beside the page's own
-        texts, _ = html.blocks(f'<article><p>kept</p></article><div class="{beside}"><article>gone</article></div>')
-        assert html.extract_text(texts, set(), set()) == "kept"
-    texts, _ = html.blocks('<body class="has-sidebar"><div class="content no-banner"><p>kept</p></div></body>')
-    assert html.extract_text(texts, set(), set()) == "kept"
+        assert text_of(f'<article><p>kept</p></article><div class="{beside}"><article>gone</article></div>') == "kept"
+    assert text_of('<body class="has-sidebar"><div class="content no-banner"><p>kept</p></div></body>') == "kept"
 
 
 def test_odd_pages(spark):
@@ -94,9 +96,39 @@ def test_odd_pages(spark):
 
 
 def test_classes_nest_by_their_paths():
-    token = lambda p: {"path": p, "chars": 1, "links": 0}
-    frame, items, loose = [token(""), token("body"), token("body/article")], [token("body/article/p")], [token("body/x/y")]
-    assert set(html.nest([items, loose, frame])) == {"", "body", "body/article", "body/article/p"}
+    token = lambda p, up: {"path": p, "parent": up, "flags": 1}
+    frame, items, loose = [token(0, 0), token(1, 0), token(2, 1)], [token(3, 2)], [token(5, 4)]
+    assert set(html.nest([items, loose, frame])) == {0, 1, 2, 3}
+
+
+def test_what_a_page_may_hold():
+    """Names that only look telling, odd quotes, letters whose lower case is longer, links in prose."""
+    assert text_of('<div class="content has-sidebar"><p>a</p></div>') == "a"
+    assert text_of('<article><p>x</p><section class="share-price"><p>b</p></section><div id="widget-history"><p>c</p></div></article>') == "x b c"
+    assert text_of("<article><p title=it's>d</p><p title='>'>e</p><p a=\"b>\" c>f</p><p =x \">g</p></article>") == "d e f g"
+    assert text_of("<p>" + "\u0130" * 9 + "</p><script>var a = '<p>no</p>'</SCRIPT><p>h</p>") == "\u0130" * 9 + " h"
+    assert text_of('<p><a href="x">all of it is a link</a></p><p>i <a>j</a></p><div><a>k</a></div>') == "all of it is a link i j k"
+    assert text_of('<div><a href="1">one</a> <a href="2">two</a> <a href="3">three</a></div><p>l</p><ul><li><a>m</a><li><a>n</a><li><a>o</a></ul>') == "l"
+    assert text_of('<article><ul><li><a>m</a><li><a>n</a><li><a>o</a></ul></article>') == "m n o"
+
+
+def test_cost_grows_with_the_length_of_a_page():
+    import time
+
+    for bit in ("<div>", "<ul><li>", "<b>", "<a>", "<p>", "<div class='a'>x", "<table><tr><td>y", "</div>"):
+        began = time.perf_counter()
+        p = html.read(bit * 40_000)
+        html.text_tokens(p)
+        html.extract_text(p, set(), set(), {1})
+        assert time.perf_counter() - began < 6, bit
+
+
+def test_blocks_outside_any_group_are_template_where_pages_repeat_them(spark):
+    page = "<body><p>we use a thing</p><h1>Title {n}</h1><p>text {n}</p><p>the small print</p></body>"
+    rows = [(i, "http://h.example/", page.format(n=i)) for i in range(5)] + [(9, "http://alone.example/", page.format(n=9))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"Title {i} text {i}" for i in range(5)]
+    assert got[9] == "we use a thing Title 9 text 9 the small print"  # no template to deduce
 
 
 # -- vectors -----------------------------------------------------------------------------
@@ -258,5 +290,6 @@ def test_random_pages_never_fail():
     rng = random.Random(7)
     bits = ["<p>", "</p>", "<div class='ad'>", "</div>", "text", " ", "<b>", "</b>", "<script>", "</script>", "<!--", "-->", "<a href=\"x>", "&amp;", "&#x41;", "<", ">", "<article>", "</article>", "<br/>", "</"]
     for _ in range(300):
-        texts, counts = html.blocks("".join(rng.choices(bits, k=40)))
-        assert all(p in counts or not p for p, _, _ in texts)
+        p = html.read("".join(rng.choices(bits, k=40)))
+        assert sum(p.count) >= len(p.step) and all(0 <= up < max(1, node) for node, up in enumerate(p.parent))
+        assert all(0 <= start < end <= len(p.texts) for _, start, end in p.spans)
