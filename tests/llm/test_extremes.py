@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, itq, minhash, mixing, packing
+from docloom.llm import binary, bpe, itq, minhash, mixing, packing, topk
 from docloom.llm.bpe import encoder
 from tests.llm.test_text_operators import water_level
 
@@ -188,3 +188,40 @@ def test_only_near_codes_are_sifted_in():
         rows = [{"cell": 8 * int(words[0, t]) + t, "i": 0, "j": 0, "side": 0, "rep": r, "code": words[r].tobytes()} for r in range(6)]
         (kept,) = itq._sift(9, 20)([pa.RecordBatch.from_pylist(rows)])
         assert kept.column("rep").to_pylist() == want
+
+
+# -- top-k -------------------------------------------------------------------------------
+
+
+def test_bounds_skip_work():
+    """Where energy falls with the dimension most products are skipped, and none of the best is lost."""
+    rng = np.random.default_rng(7)
+    q, d = (np.floor(rng.standard_normal((64, n)) * 2560 / np.arange(1, 65)[:, None] ** 1.5) for n in (50, 2000))
+    full, work = q.T @ d, []
+    floor = np.sort(full, axis=1)[:, -5]
+    who, cand, s = topk.pair_scores(q, d, floor, np.arange(64), work)
+    assert set(zip(who.tolist(), cand.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(full >= floor[:, None])))) and (s == full[who, cand]).all()
+    assert work[0] < 0.5 * 64 * 50 * 2000
+
+
+def test_cells_emit_little_and_lose_nothing(spark, monkeypatch):
+    """Many cells of small blocks give the same rows as one; floors keep what leaves them small."""
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.integers(-2000, 2000, 12) / 256).tolist()) for i in range(3000)] + [(i, [1.0] * 12) for i in range(3000, 3100)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, topk.search(docs, "vec_id % 50 = 0").collect()))
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 16)
+    assert sorted(map(tuple, topk.search(docs, "vec_id % 50 = 0").collect())) == want
+    ints = np.floor(np.array([v for _, v in rows]) * 256)
+    for q, rank, v, score in want:
+        assert score == int(ints[q] @ ints[v]) and rank <= 5
+    assert len(want) == 62 * 5
+
+
+def test_the_grid_moves_least():
+    for q, c, n in ((0, 0, 32), (1, 1, 32), (6, 51, 32), (2000, 100_000, 16_000), (50, 3, 8)):
+        rows, columns = topk.grid(q, c, n)
+        assert 1 <= rows <= max(1, q) and 1 <= columns <= max(1, c) and rows * columns <= max(1, n)
+    rows, columns = topk.grid(2000, 100_000, 16_000)
+    assert 2000 * columns + 100_000 * rows < 0.2 * (2000 * 16_000 + 100_000)
