@@ -2,7 +2,8 @@
 
 A text is never turned into Python strings: word bounds come from a table of
 byte classes, and 64-bit word hashes from prefix sums of a polynomial over the
-bytes, so a word of any length costs one subtraction and one product.
+bytes, so a word of any length costs one subtraction and one product.  A long
+text is worked on in parts; a word that parts cut is put together from theirs.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that are worked on together; a longer text is worked on alone.
+#: Bytes that are worked on together.
 CHUNK = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
 #: A-Z as a-z; other bytes as they are.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,10 +46,10 @@ _pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers (CHUNK + 1 at most) of the base and of its inverse."""
     if n > len(_pow[0]):
-        size = max(n, CHUNK + 1)
         for i, base in enumerate((_P, _P_INV)):
-            grown = np.full(size, base)
+            grown = np.full(max(n, CHUNK + 1), base)
             grown[0] = 1
             _pow[i] = np.multiply.accumulate(grown)
     return _pow[0][:n], _pow[1][:n]
@@ -105,21 +106,48 @@ def words(column, is_word: np.ndarray = SPACED) -> Iterator[Words]:
     for i, j in chunks(offsets):
         raw = data[offsets[i] : offsets[j]]
         bounds = offsets[i : j + 1] - offsets[i]
-        inside = is_word[raw]
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[bounds] = True  # a row's end ends its last word
-        before = np.zeros(len(raw) + 1, bool)
-        before[1:] = inside
-        now = np.zeros(len(raw) + 1, bool)
-        now[:-1] = inside
-        starts = np.flatnonzero(now & (edge | ~before))
-        ends = np.flatnonzero(before & (edge | ~now))
-        low = _LOWER[raw]
-        up, down = _powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[low] * up[:-1], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts])
-        yield Words(i, hashes, np.searchsorted(starts, bounds).astype(np.int64), starts, ends, low)
+        starts, ends, hashes, low = _scan(raw, bounds, is_word)
+        yield Words(i, mix(hashes), np.searchsorted(starts, bounds).astype(np.int64), starts, ends, low)
+
+
+def _scan(raw: np.ndarray, bounds: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, polynomials, lower-cased bytes) of the words of rows that end at ``bounds``."""
+    low, begun, done, found = np.empty(len(raw), np.uint8), [], [], []
+    inside_before, cut = False, None  # cut: polynomial and length of a word that goes on in the next part
+    for at in range(0, len(raw), CHUNK):
+        part = raw[at : at + CHUNK]
+        n = len(part)
+        inside = is_word[part]
+        edge = np.zeros(n, bool)
+        edge[bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, at + n)] - at] = True  # a row's end ends its last word
+        before = np.empty(n, bool)
+        before[0], before[1:] = inside_before, inside[:-1]
+        starts = np.flatnonzero(inside & (edge | ~before))
+        ends = np.flatnonzero(before & (edge | ~inside))
+        _LOWER.take(part, out=low[at : at + n])
+        up, down = _powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE[low[at : at + n]] * up[:-1], out=sums[1:])
+        if cut is not None:  # the first end is its own, unless it goes on
+            last = int(ends[0]) if len(ends) else n
+            cut = cut[0] + np.uint64(pow(int(_P), cut[1], 1 << 64)) * sums[last : last + 1], cut[1] + last
+            if len(ends):
+                found.append(cut[0])
+                done.append(ends[:1] + at)
+                ends, cut = ends[1:], None
+        open_ = starts[len(ends) :]  # at most one
+        begun.append(starts + at)
+        done.append(ends + at)
+        starts = starts[: len(ends)]
+        found.append((sums[ends] - sums[starts]) * down[starts])
+        if len(open_):
+            cut = (sums[n:] - sums[open_]) * down[open_], n - int(open_[0])
+        inside_before = bool(inside[-1])
+    if cut is not None:
+        found.append(cut[0])
+        done.append(np.array([len(raw)]))
+    whole = lambda arrays, kind: np.concatenate(arrays) if arrays else np.empty(0, kind)
+    return whole(begun, np.int64), whole(done, np.int64), whole(found, np.uint64), low
 
 
 _ROLL = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import binary, bpe, itq, minhash, mixing, packing, topk
+from docloom.llm import binary, bpe, itq, minhash, mixing, packing, topk, toxicity
+from docloom.llm import words as W
 from docloom.llm.bpe import encoder
 from tests.llm.test_text_operators import water_level
 
@@ -225,3 +226,119 @@ def test_the_grid_moves_least():
         assert 1 <= rows <= max(1, q) and 1 <= columns <= max(1, c) and rows * columns <= max(1, n)
     rows, columns = topk.grid(2000, 100_000, 16_000)
     assert 2000 * columns + 100_000 * rows < 0.2 * (2000 * 16_000 + 100_000)
+
+
+# -- toxicity ----------------------------------------------------------------------------
+
+
+def brute_bucket(gram: str) -> int:
+    """Bucket of one n-gram, in whole numbers."""
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + ord(c) * 0x9E3779B1) % 2**32
+    return ((h ^ (h >> 15)) * (0x85EBCA77 + 2 * len(gram)) % 2**32) >> (32 - toxicity.BITS)
+
+
+def brute_grams(text):
+    """By position, of a blank, the text and a blank: the n-grams that end there."""
+    plain = "".join(c if c.isalnum() and c < "\x80" or c >= "\x80" else " " for c in text.lower())
+    plain = f" {plain} "
+    return [[plain[i - n + 1 : i + 1] for n in toxicity.SIZES if i - n + 1 >= 0] for i in range(len(plain))]
+
+
+def brute_score(model, text):
+    if not text:
+        z = model.offset
+    else:
+        by_place = [sum(float(model.weights[brute_bucket(g)]) for g in grams) for grams in brute_grams(text)]
+        n, worst, start = len(by_place), -np.inf, 0
+        while True:
+            worst = max(worst, sum(by_place[start : min(n, start + toxicity.SPAN)]))
+            if start + toxicity.SPAN >= n:
+                break
+            start += toxicity.STRIDE
+        z = model.slope * worst + model.offset
+    return 1 / (1 + np.exp(-z))
+
+
+def sample_texts():
+    rng = random.Random(9)
+    clean, bad = [f"w{rng.randrange(40)}é" for _ in range(60)], ["idiot", "ДУРАК", "馬鹿野郎", "vile", "scum"]
+    texts, labels = [], []
+    for i in range(160):
+        words = [rng.choice(clean) for _ in range(rng.randrange(1, 200))]
+        if i % 2:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words) + 1), rng.choice(bad))
+        texts.append(" ".join(words))
+        labels.append(i % 2)
+    return texts, np.array(labels)
+
+
+def test_ratios_and_scores_as_by_brute_force(monkeypatch):
+    texts, labels = sample_texts()
+    read = [toxicity.points(t) for t in texts]
+    got = toxicity.ratios(read, labels)
+    held = [{}, {}]
+    for t, y in zip(texts, labels):
+        for b in {brute_bucket(g) for grams in brute_grams(t) for g in grams}:
+            held[y][b] = held[y].get(b, 0) + 1
+    n = np.bincount(labels)
+    for b in {*held[0], *held[1]}:
+        clean, toxic = held[0].get(b, 0), held[1].get(b, 0)
+        want = np.log((toxic + 1) / (n[1] + 2)) - np.log((clean + 1) / (n[0] + 2)) if b and clean + toxic >= toxicity.LEAST_TEXTS else 0.0
+        assert got[b] == pytest.approx(want)
+    assert np.count_nonzero(got) <= len({*held[0], *held[1]})
+    model = toxicity.fit(read, labels, 0.5)
+    odd = ["", "x", "ab", "İİ scum", "idiot " * 200, " ".join(texts[:40])]
+    for part in (toxicity.PART, 2 * toxicity.STRIDE):
+        monkeypatch.setattr(toxicity, "PART", part)
+        for t in [*texts[:30], *odd]:
+            assert model.score(toxicity.points(t)) == pytest.approx(brute_score(model, t), rel=1e-4, abs=1e-6)
+    assert np.mean([(model.score(x) >= 0.5) == y for x, y in zip(read, labels)]) > 0.95
+    held_out = ["w1é w2é ДУРАК w3é ДУРАК", "w1é w2é 馬鹿野郎 w3é 馬鹿野郎 w9é"]
+    assert all(model.score(toxicity.points(t)) > model.score(toxicity.points("w1é w2é w3é w4é w5é")) for t in held_out)
+
+
+def test_training_does_not_depend_on_the_order_of_repeated_ids(spark):
+    texts, labels = sample_texts()
+    docs = [(i // 2, t, "s", "en", 0) for i, t in enumerate(texts)] + [(500, texts[1], "s", "en", 0), (501, "z" * 100_000, "s", "en", 0)]
+    known = [(i, int(i % 2)) for i in range(80)] + [(500, 0), (500, 1), (3, 1), (501, 1)]
+    models = []
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rng.shuffle(docs)
+        rng.shuffle(known)
+        df = spark.createDataFrame(docs, DOCS).repartition(seed + 1)
+        models.append(toxicity.train(df, spark.createDataFrame(known, "doc_id long, toxic int")))
+    assert (models[0].weights == models[1].weights).all() and (models[0].slope, models[0].offset) == (models[1].slope, models[1].offset)
+
+
+# -- words -------------------------------------------------------------------------------
+
+
+def test_words_across_parts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(10)
+    texts = ["".join(rng.choices("aB é\n.", k=rng.randrange(0, 90))) for _ in range(200)] + ["x" * 300, "", None, " " * 50, "y" * 64, "é " * 40]
+    column = pa.array(texts)
+    for kind in (W.SPACED, W.ALNUM):
+        (want,) = W.words(column, kind)
+        for size in (1, 7, 64):
+            monkeypatch.setattr(W, "CHUNK", size)
+            got = list(W.words(column, kind))
+            monkeypatch.setattr(W, "CHUNK", 1 << 20)
+            assert np.concatenate([w.hashes for w in got]).tolist() == want.hashes.tolist()
+            assert b"".join(bytes(w.data) for w in got) == bytes(want.data)
+            assert np.concatenate([np.diff(w.first) for w in got]).tolist() == np.diff(want.first).tolist()
+            assert np.concatenate([w.ends - w.starts for w in got]).tolist() == (want.ends - want.starts).tolist()
+
+
+def test_a_long_text_takes_little_memory():
+    import tracemalloc
+
+    text = pa.array(["some words of prose " * 1_000_000])  # 20 MB
+    tracemalloc.start()
+    (w,) = W.words(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(w.hashes) == 4_000_000 and peak < 12 * 20_000_000
