@@ -11,9 +11,10 @@ diagonals at most ``DRIFT`` apart, or half of a longer notice's runs, are merged
 and a merged span is verified: it must hold at least ``COVER`` of the notice's
 runs, each once and in the notice's order.
 
-The pass over the texts writes, for each document, its number of words and those
-runs whose hash some template may have, by a bit table of the template hashes
-which never loses one; the join then decides, on the hash and on the words
+The pass over the texts hashes every run of every document, and writes those
+that pass a bit table of the template hashes; the table keeps every run of a
+template and some hundredths of a percent of the others, so that not all runs
+need to leave Python.  The join decides, on the hash and on the words
 themselves.  The template table is fixed in size, so it may be broadcast.
 """
 
@@ -36,30 +37,44 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Public license notices and their labels.
+#: Labels and the public license notices that they stand for, whole ones and those of one line.
 NOTICES = {
-    "notice-apache": "Licensed under the Apache License, Version 2.0",
+    "notice-apache": ("Licensed under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"),
     "notice-mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-        "permit persons to whom the Software is furnished to do so"
+        "permit persons to whom the Software is furnished to do so",
+        "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT",
     ),
     "notice-bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"
+        "following conditions are met",
+        "SPDX-License-Identifier: BSD-2-Clause", "SPDX-License-Identifier: BSD-3-Clause",
+    ),
+    "notice-isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies",
     ),
     "notice-gpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation"
+        "License as published by the Free Software Foundation",
+        "licensed under the GNU General Public License, version", "GNU General Public License as published by the Free Software Foundation",
     ),
-    "notice-cc": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "notice-mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+    "notice-lgpl": ("under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",),
+    "notice-cc": (
+        "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "licensed under a Creative Commons Attribution", "Licensed under CC BY-NC", "Licensed under CC BY-SA", "Licensed under CC BY 4.0",
+    ),
+    "notice-mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "notice-public-domain": ("This is free and unencumbered software released into the public domain", "dedicated to the public domain under CC0"),
+}
 
 PHRASE_K, NOTICE_K = 2, 5
 DRIFT = 3
 COVER = 0.6
+#: The bit table of the template hashes has two to this many places.
+TABLE_BITS = 20
 
 
 def _split(text: str) -> list[bytes]:
@@ -69,9 +84,10 @@ def _split(text: str) -> list[bytes]:
 def templates() -> list[tuple[str, bool, int, int, int, int, str]]:
     """(label, base, template, k, position, hash, words) for each run of each template."""
     out = []
-    named = [(text, label, True) for text, label in PHRASES.items()] + [(text, label, False) for label, text in NOTICES.items()]
+    named = [(text, label, True) for text, label in PHRASES.items()] + [(text, label, False) for label, texts in NOTICES.items() for text in texts]
     for n, (text, label, base) in enumerate(named):
-        k, found = (PHRASE_K if base else NOTICE_K), _split(text)
+        found = _split(text)
+        k = PHRASE_K if base else min(NOTICE_K, len(found))
         (w,) = W.words(pa.array([text]), W.ALNUM)
         for i, h in enumerate(W.grams(w.hashes, k).view(np.int64).tolist()):
             out.append((label, base, n, k, i, h, b" ".join(found[i : i + k]).decode()))
@@ -82,11 +98,11 @@ def _hits(ks: list[int], wanted: dict[int, np.ndarray]):
     """Per row: the number of words, and place, k, hash and words of the runs that a template may hold."""
 
     def bits(hashes: np.ndarray) -> np.ndarray:
-        return (hashes >> np.uint64(48)).astype(np.int64)
+        return (hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     tables = {}
     for k in ks:
-        tables[k] = np.zeros(1 << 16, bool)
+        tables[k] = np.zeros(1 << TABLE_BITS, bool)
         tables[k][bits(wanted[k])] = True
     kind = pa.list_(pa.struct([("at", pa.int64()), ("k", pa.int32()), ("hash", pa.int64()), ("run", pa.string())]))
 
@@ -98,7 +114,6 @@ def _hits(ks: list[int], wanted: dict[int, np.ndarray]):
                 for k in ks:
                     h = W.grams(w.hashes, k)
                     at = np.flatnonzero(tables[k][bits(h)])
-                    at = at[np.isin(h[at], wanted[k])]
                     row = np.searchsorted(w.first, at, "right") - 1
                     inside = at + k <= w.first[row + 1]  # a run ends in the row where it starts
                     for i, r in zip(at[inside].tolist(), row[inside].tolist()):
@@ -115,8 +130,9 @@ def scan(docs: DataFrame) -> DataFrame:
     (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score,
     spans): n_base places of base phrases, overlapping ones too, starting at
     words first_word to last_word (null without any); labels are comma-joined;
-    spans are the verified (label, start, end, votes); score is 1 where a phrase
-    stands, else the largest share of a notice's runs in a span, else 0.  A null
+    spans are the verified (label, first, last, share) in order of their words,
+    with the share of the template's runs; score is the largest such share, 1
+    where a phrase stands, 0 without any.  A null
     text is an empty one; rows that repeat are scanned each; a null doc_id is
     returned as such.  An empty table gives an empty one; other columns play no
     part.
@@ -147,12 +163,14 @@ def scan(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))).alias("base_labels"),
         F.array_sort(F.collect_set("label")).alias("labels"),
         F.max("share").alias("score"),
+        F.array_sort(F.collect_list(F.struct(F.col("low").alias("first"), F.col("high").alias("last"), "label", "share"))).alias("spans"),
     )
     out = pages.select("row", "doc_id", "n_words").join(by_row, "row", "left")
     listed = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         listed("base_labels"), listed("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+        F.coalesce("spans", F.array().cast("array<struct<first:bigint,last:bigint,label:string,share:double>>")).alias("spans"),
     )
 
 

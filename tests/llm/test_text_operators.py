@@ -399,7 +399,7 @@ def test_base_labels_as_by_brute_force(spark, none):
 
 
 def test_notices_with_words_put_in_or_left_out(spark, odd):
-    words = license.NOTICES["notice-mit"].split()
+    words = license.NOTICES["notice-mit"][0].split()
     whole, cut, part = " ".join(words), " ".join(words[:20] + ["indeed"] + words[20:40] + words[42:]), " ".join(words[:12])
     df = spark.createDataFrame([(i, f"prose before {t} and after", "s", "en", 0) for i, t in enumerate((whole, cut, part))], SCHEMA)
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in license.scan(df).collect()}
@@ -408,7 +408,7 @@ def test_notices_with_words_put_in_or_left_out(spark, odd):
 
 
 def test_notices_drift_with_their_length_and_count_runs_once(spark):
-    mit, bsd = license.NOTICES["notice-mit"].split(), license.NOTICES["notice-bsd"].split()
+    mit, bsd = license.NOTICES["notice-mit"][0].split(), license.NOTICES["notice-bsd"][0].split()
     some = [f"w{i}" for i in range(12)]
     texts = [
         mit[:30] + some[:4] + mit[30:], mit[:30] + some + mit[30:], bsd[:10] + some[:4] + bsd[10:],
@@ -424,5 +424,44 @@ def test_notices_drift_with_their_length_and_count_runs_once(spark):
     assert license.in_order([3, 1, 2, 2, 5, 4]) == 3 and license.in_order([]) == 0
 
 
+LINES = [
+    ("Released under the MIT License.", "notice-mit", 0), ("It is licensed under the GNU General Public License, version 3 or later", "gpl,notice-gpl", 1),
+    ("Licensed under CC BY-NC 4.0 by us", "cc-by,notice-cc", 1), ("SPDX-License-Identifier: MIT", "notice-mit", 0), ("it was released under a license of MIT", "", 0),
+    ("the MIT license", "", 0), ("licensed under the apache license version 2.0", "notice-apache", 0),
+]
+
+
+def test_notices_of_one_line_and_their_spans(spark):
+    df = spark.createDataFrame([(i, f"some prose {t} more prose", "s", "en", 0) for i, (t, *_) in enumerate(LINES)], SCHEMA)
+    got = {r["doc_id"]: r for r in license.scan(df).collect()}
+    for i, (text, labels, n_base) in enumerate(LINES):
+        r, n = got[i], len(license._split(text))
+        assert (r["labels"], r["n_base"], r["score"]) == (labels, n_base, float(bool(labels))), text
+        assert {s["label"] for s in r["spans"]} == set(filter(None, labels.split(",")))
+        assert all(2 <= s["first"] <= s["last"] < 2 + n and 0.6 <= s["share"] <= 1 for s in r["spans"])
+        assert [s["first"] for s in r["spans"]] == sorted(s["first"] for s in r["spans"])
+
+
+def brute_score(text):
+    """The best share of a template's runs in one span, for texts in which nothing is put into a notice."""
+    words, best = license._split(text), 0.0
+    for label, base, n, k, *_ in {t[:4] for t in license.templates()}:
+        runs = [t[6].encode() for t in license.templates() if t[2] == n]
+        at = {}
+        for i in range(len(words) - k + 1):
+            run = b" ".join(words[i : i + k])
+            for j in (j for j, r in enumerate(runs) if r == run):
+                at[i - j] = at.get(i - j, 0) + 1
+        best = max([best, *(v / len(runs) for v in at.values() if v >= (1.0 if base else license.COVER) * len(runs))])
+    return best
+
+
+def test_score_as_by_brute_force(spark):
+    mit = license.NOTICES["notice-mit"][0].split()
+    texts = [" ".join(mit[:n]) for n in range(0, len(mit) + 1, 7)] + [" ".join(mit[n:]) for n in range(0, len(mit), 9)] + [t for t, *_ in LINES]
+    got = {r["doc_id"]: r["score"] for r in license.scan(spark.createDataFrame([(i, t, "s", "en", 0) for i, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all(got[i] == pytest.approx(brute_score(t)) for i, t in enumerate(texts))
+
+
 def test_results_are_plain_json(spark):
     assert json.dumps(queries.op9_license_scan(spark, SF).limit(1).toJSON().first() or "")
