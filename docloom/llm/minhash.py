@@ -256,24 +256,25 @@ def _resolve(
     component.  Rows without doc_id take part only if ``whole``.
     """
     n = bands * rows
+    # what identifies a row, without nulls, so that joins and distinct rows share a partitioning
+    id_ = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = base.withColumn("digest", F.xxhash64("text"))
-    signed = scratch.save(base.mapInArrow(_sign(k, n), "doc_id long, digest long, n_shingles long, set_a long, set_b long, sig binary"))
+    signed = base.mapInArrow(_sign(k, n), "doc_id long, digest long, n_shingles long, set_a long, set_b long, sig binary")
+    signed = scratch.save(signed.withColumn("seq", F.monotonically_increasing_id()))
     some = signed.where("n_shingles > 0" if whole else "n_shingles > 0 and doc_id is not null")
-    # a class by its set; the row of least doc_id and digest stands for it
-    classes = some.groupBy(*_SAME).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("x"))
-    classes = scratch.save(classes.select(*_SAME, "x.doc_id", "x.digest", F.monotonically_increasing_id().alias("rep")))
-    reps = classes.select("rep", "doc_id", "digest")
-    mine = lambda df: df["doc_id"].eqNullSafe(reps["doc_id"]) & (df["digest"] == reps["digest"])
-    signs = signed.where("n_shingles > 0").join(reps, mine(signed)).select(reps["rep"], F.col("n_shingles").alias("n"), "sig")
-    signs = scratch.save(signs.dropDuplicates(["rep"]))
+    # a class by its set; its row of least doc_id and digest stands for it
+    classes = some.groupBy(*_SAME).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "seq")).alias("x"))
+    classes = scratch.save(classes.select(*_SAME, "x.doc_id", F.col("x.seq").alias("rep")))
+    signs = signed.join(classes.select(F.col("rep").alias("seq")), "seq", "left_semi")
+    signs = scratch.save(signs.select(F.col("seq").alias("rep"), F.col("n_shingles").alias("n"), "sig", id_.alias("id"), "digest"))
 
     banded = signs.mapInArrow(_band(bands, rows), "key long, rep long, n long")
     met = banded.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who")).where("m > 1")
     met = scratch.save(met.groupBy("m", "who").agg(F.min("key").alias("key")).select("key"))
     members = scratch.save(banded.join(met, "key").select(F.col("key").alias("bucket"), "rep", "n"))
     scratch.free(met)
-    edges = _verify_buckets(scratch, base, signs, reps, members, k, num, den, n, miss)
+    edges = _verify_buckets(scratch, base.select(id_.alias("id"), "digest", "text"), signs, members, k, num, den, n, miss)
     scratch.free(members, signs)
 
     # a doc_id of several sets is one document
@@ -328,15 +329,14 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     out = scratch.save(_resolve(scratch, docs, k, num, den, bands, rows, miss, whole=True).where("component is not null"))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    first = out.groupBy("component").agg(F.min(row).alias("x"), F.count("*").alias("m")).where("m > 1")
-    pairs = out.groupBy("doc_id", "digest").agg(F.first("component").alias("component"), F.count("*").alias("times"))
-    pairs = pairs.join(first, "component")
-    stays = F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("digest") == F.col("x.digest"))
-    gone = scratch.save(pairs.where(~stays).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")))
-    twice = scratch.save(pairs.where(stays & (F.col("times") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")))
-    id_, digest = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    same = lambda other: id_.eqNullSafe(other["gone_id"]) & (digest == other["gone"])
+    id_, digest = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.col("text").cast("string"))
+    none = F.col("doc_id").isNull()
+    first = out.groupBy("component").agg(F.min(F.struct(none.alias("none"), id_.alias("id"), "digest")).alias("x")).select("x.id", "x.digest")
+    rows_ = out.groupBy(id_.alias("id"), "digest").agg(F.count("*").alias("times"))
+    gone = scratch.save(rows_.join(first, ["id", "digest"], "left_anti").select(F.col("id").alias("gone_id"), F.col("digest").alias("gone")))
+    twice = rows_.where("times > 1").join(first, ["id", "digest"], "left_semi")
+    twice = scratch.save(twice.select(F.col("id").alias("gone_id"), F.col("digest").alias("gone")))
+    same = lambda other: (id_ == other["gone_id"]) & (digest == other["gone"])
     left = docs.join(gone, same(gone), "left_anti")
     if twice.isEmpty():
         return left
@@ -345,16 +345,15 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int =
 
 
 def _verify_buckets(
-    scratch: Scratch, base: DataFrame, signs: DataFrame, reps: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float
+    scratch: Scratch, base: DataFrame, signs: DataFrame, members: DataFrame, k: int, num: int, den: int, n: int, miss: float
 ) -> DataFrame:
     """Confirmed links (a, b) between classes, which span their components; see step 3 of the module."""
     pair = "a long, b long"
     met = members.select("rep").distinct()
     # by hash at every size: the texts move once, and what moves grows with the input
-    wanted = reps.join(met.hint("shuffle_hash"), "rep", "left_semi")
-    mine = base["doc_id"].eqNullSafe(wanted["doc_id"]) & (base["digest"] == wanted["digest"])
-    texts = base.join(wanted.hint("shuffle_hash"), mine).select("rep", "text").dropDuplicates(["rep"])
-    known = scratch.save(signs.select("rep", "sig").join(met.hint("shuffle_hash"), "rep", "left_semi").join(texts, "rep"))
+    wanted = signs.join(met.hint("shuffle_hash"), "rep", "left_semi").select("rep", "sig", "id", "digest")
+    known = base.join(wanted.hint("shuffle_hash"), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    known = scratch.save(known.select("rep", "sig", "text"))
     sigs, texts = known.select("rep", "sig"), known.select("rep", "text")
 
     degree = members.groupBy("rep").agg(F.count("*").alias("degree"))
