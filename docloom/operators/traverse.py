@@ -37,16 +37,17 @@ def traverse(df: DataFrame, q: Q.Traverse, fields: Fields) -> DataFrame:
     scratch = Scratch(df.sparkSession, "traverse")
     id_ = fields.columns[ID] if isinstance(fields, TypedFields) else ID
     start = df if q.start is None else df.where(compile_filter(q.start, fields))
-    keys, found = start.select(source.alias("_key")), []
+    keys, found, seen = start.select(source.alias("_key")), [], None
     for hop in range(1, q.depth + 1):
         keys = keys.where("_key is not null").distinct()
         reached = df.withColumn("_to", target).join(keys, F.col("_to") == F.col("_key"), "left_semi").drop("_to")
-        for earlier in found:
-            reached = reached.join(earlier.select(id_), id_, "left_anti")
+        if seen is not None:
+            reached = reached.join(seen, id_, "left_anti")
         reached = scratch.save(reached.withColumn(HOP, F.lit(hop)))
         if reached.isEmpty():
             break
         found.append(reached)
+        seen = reached.select(id_) if seen is None else seen.union(reached.select(id_))
         keys = reached.select(source.alias("_key"))
     if not found:
         return empty

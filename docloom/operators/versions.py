@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,14 @@ def latest(df: DataFrame, bound: object | None = None, id: str = ID, version: st
 
 
 def retain(df: DataFrame, bounds: list, id: str = ID, version: str | list[str] = VERSION) -> DataFrame:
-    """The versions that some reader may still need: the newest of all, and the newest at or before each bound."""
+    """The versions that some reader may still need: the newest of all, and the newest at or before each bound.
+
+    These are the newest of each stretch of versions between two bounds, so that
+    an id moves one row per task and stretch, and a hot id is pruned before it
+    is shuffled.
+    """
     order = [version] if isinstance(version, str) else version
-    newest = lambda w: F.row_number().over(w) == 1
-    desc = [F.col(c).desc() for c in order]
-    keep = newest(Window.partitionBy(id).orderBy(*desc))
-    for bound in bounds:
-        before = F.col(order[0]) <= F.lit(bound)
-        keep = keep | before & newest(Window.partitionBy(id).orderBy(before.desc(), *desc))
-    return df.withColumn("_keep", keep).where("_keep").drop("_keep")
+    passed = reduce(add, (F.when(F.col(order[0]) > F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0))
+    newest = Window.partitionBy(id, "_stretch").orderBy(*(F.col(c).desc() for c in order))
+    ranked = df.withColumn("_stretch", passed).withColumn("_rank", F.row_number().over(newest))
+    return ranked.where("_rank = 1").drop("_rank", "_stretch")

@@ -9,6 +9,7 @@ dies leaves nothing half done, and readers never wait.
 
 from __future__ import annotations
 
+import math
 import threading
 import time
 import uuid
@@ -18,11 +19,12 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import EngineError, FieldNotFound, HashMismatch, SegmentError
+from ..errors import DocumentError, EngineError, FieldNotFound, HashMismatch, LogError, SegmentError
 from ..functions.fields import DELETED, ID, VERSION, TaggedFields, tag_of
 from ..functions.identity import NIL, new_id
 from ..functions.values import LANE, STORED, Tag, Value, decode, encode
@@ -44,8 +46,9 @@ class Config:
 
     buffer_rows: int = 10_000  # buffered documents that make a flush
     index_threshold: int = 1000  # returned documents from which a query may build an index
-    index_partitions: int = 8
-    segment_partitions: int = 1
+    index_partitions: int = 0  # files of an index; 0: by bytes
+    segment_partitions: int = 1  # files of a flush
+    file_bytes: int = 128 << 20  # what a file of a merge or an index should have
     w: int = 0
     adaptive: bool = False
     least_w: int = -8
@@ -174,12 +177,16 @@ class Collection:
         self._feeds: dict[str, int] = state.get("feeds", {})
         self._buffer: list[tuple] = []
         self._log_next = self._log_from
-        for name in self.files.names("log"):
-            if name.startswith(".") or int(name.split(".")[0]) < self._log_from:
-                continue
-            for row in self.files.read(f"log/{name}")["rows"]:
-                self._buffer.append(_thaw(row))
-                self._version = max(self._version, row[1])
+        logs = [n for n in self.files.names("log") if not n.startswith(".") and int(n.split(".")[0]) >= self._log_from]
+        for at, name in enumerate(logs):
+            try:
+                rows = [_thaw(row) for row in self.files.read(f"log/{name}")["rows"]]
+            except (LogError, DocumentError, KeyError, TypeError, ValueError, Py4JJavaError):
+                for n in logs[at:]:  # what was written before it is whole; it and what follows is put aside
+                    self.files.move(f"log/{n}", f"damaged/{n}")
+                break
+            self._buffer += rows
+            self._version = max([self._version, *(row[1] for row in rows)])
             self._log_next = int(name.split(".")[0]) + 1
 
     def _commit(self) -> None:
@@ -281,28 +288,37 @@ class Collection:
             return True
 
     def _write(self, rows: DataFrame, parts: int | None) -> tuple[C.Segment, int] | None:
+        """A segment of the rows, in files of ranges of _id: as many as named, or as adaptive execution finds fit."""
         name = f"segment/{uuid.uuid4().hex}"
-        if parts is None:
-            sorted_ = rows.sortWithinPartitions(ID, VERSION)
-        else:
-            sorted_ = rows.repartitionByRange(parts, ID).sortWithinPartitions(ID, VERSION)
+        placed = rows.repartitionByRange(ID) if parts is None else rows.repartitionByRange(parts, ID)
+        seen = Observation()
+        sorted_ = placed.sortWithinPartitions(ID, VERSION).withColumn("_hash", content_hash())
+        marks = (F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("n"), F.max(VERSION).alias("v"))
         # a bloom filter on _id serves point lookups, page checksums find damage
-        writer = sorted_.withColumn("_hash", content_hash()).write.option("compression", "zstd")
-        writer = writer.option(f"parquet.bloom.filter.enabled#{ID}", "true").option("parquet.page.write-checksum.enabled", "true")
+        writer = sorted_.observe(seen, *marks).write.option("compression", "zstd")
+        writer = writer.option(f"parquet.bloom.filter.enabled#{ID}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        writer = writer.option("parquet.page.write-checksum.enabled", "true")
         writer.parquet(f"{self.files.path}/{name}")
-        found = self._segment_frame(name).agg(F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("n"), F.max(VERSION).alias("v")).first()
+        try:
+            found = seen.get
+        except Py4JJavaError:  # the optimizer saw that there are no rows
+            found = self._segment_frame(name).agg(*marks).first().asDict()
         if not found["n"]:
             self.files.delete(name)
             return None
         return C.Segment(name, found["low"], found["high"], self.files.size(name), found["n"], self._seq + 1), found["v"]
 
+    def _files(self, segments: Iterable[C.Segment]) -> int:
+        return max(1, math.ceil(sum(s.bytes for s in segments) / self.config.file_bytes))
+
     # -- reading ---------------------------------------------------------------
 
     def _segment_frame(self, *names: str) -> DataFrame:
         for n in names:
             if not self.files.exists(n):
                 raise SegmentError(f"{n} is missing")
-        return self.spark.read.schema(f"{SCHEMA}, _hash string").parquet(*(f"{self.files.path}/{n}" for n in names))
+        read = self.spark.read.schema(f"{SCHEMA}, _hash string").option("parquet.page.verify-checksum.enabled", "true")
+        return read.parquet(*(f"{self.files.path}/{n}" for n in names))
 
     def _buffered(self) -> DataFrame:
         return self.spark.createDataFrame([Row(*r) for r in self._buffer], SCHEMA)
@@ -323,10 +339,17 @@ class Collection:
     def get(self, id: str, at: Snapshot | None = None) -> Document | None:
         timer = QueryTimer(self.stats, pattern_of(Q.Get(id)))
         self.scaling.read()
-        row = latest(self.versions().where(F.col(ID) == id), at.version if at else None).first()
+        row = self.range(id, id, at).first()
         timer.done(1, int(row is not None))
         return Document.of(row) if row else None
 
+    def range(self, low: str, high: str, at: Snapshot | None = None) -> DataFrame:
+        """The live documents with low <= _id <= high, from the segments whose ids reach into that range."""
+        with self._lock:
+            names = [s.name for s in self._segments if s.min_id <= high and low <= s.max_id]
+            rows = self.versions(names)
+        return latest(rows.where(F.col(ID).between(low, high)), at.version if at else None)
+
     def contains(self, id: str) -> bool:
         return self.get(id) is not None
 
@@ -369,7 +392,7 @@ class Collection:
     def execute(self, q: Q.Query, at: Snapshot | None = None) -> DataFrame:
         """The DataFrame of any query."""
         if isinstance(q, Q.Get):
-            return latest(self.versions().where(F.col(ID) == q.id), at.version if at else None)
+            return self.range(q.id, q.id, at)
         return self.scan(q, at) if isinstance(q, Q.Scan) else self.traverse(q, at)
 
     def run(self, q: Q.Query, at: Snapshot | None = None) -> list[Document]:
@@ -431,7 +454,7 @@ class Collection:
             if f is not None:
                 docs = docs.where(compile_filter(f, self.fields))
             name = f"index/{uuid.uuid4().hex}"
-            X.build(docs, list(fields), self.config.index_partitions).write.parquet(f"{self.files.path}/{name}")
+            X.build(docs, list(fields), self.config.index_partitions or self._files(self._segments)).write.parquet(f"{self.files.path}/{name}")
             rows = self.spark.read.parquet(f"{self.files.path}/{name}").count()
             index = X.Index(name, list(fields), X.dump_filter(f), [s.name for s in self._segments], rows, 0, self.config.clock())
             self._indexes = [i for i in self._indexes if (i.fields, i.predicate) != (index.fields, index.predicate)] + [index]
@@ -485,7 +508,7 @@ class Collection:
             low, high = min(s.min_id for s in segments), max(s.max_id for s in segments)
             older = [s for s in self._segments if s.name not in names and s.seq <= newest and s.min_id <= high and low <= s.max_id]
             rows = C.merge(self._segment_frame(*sorted(names)).drop("_hash"), bounds, not older and not bounds, transform)
-            written = self._write(rows, max(1, len(segments) // 4))
+            written = self._write(rows, self._files(segments))
             kept = [s for s in self._segments if s.name not in names]
             self._segments = kept + ([replace(written[0], seq=newest)] if written else [])
             fresh = []
@@ -539,7 +562,10 @@ class Collection:
         """Compares the stored hash of every version with its content."""
         names = [s.name for s in self._segments]
         if names:
-            bad = self._segment_frame(*names).where(F.col("_hash") != content_hash()).select(ID).first()
+            try:
+                bad = self._segment_frame(*names).where(F.col("_hash") != content_hash()).select(ID).first()
+            except (PySparkException, Py4JJavaError) as e:  # a page's checksum, or no Parquet at all
+                raise SegmentError(f"a segment can't be read: {e}") from e
             if bad:
                 raise HashMismatch(bad[ID])
 

@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import LogError
@@ -65,8 +66,11 @@ class Folder:
     def create(self, name: str, content: dict) -> bool:
         """Writes a new file; False if there is one of that name.
 
-        The content goes to a temporary name and is renamed, so a reader never
-        sees half of it; the rename fails where the name is taken.
+        The content goes to a temporary name first, so a reader never sees half
+        of it.  On local disks a hard link then gives it its name, elsewhere a
+        rename; of several writers at once one wins where links or renames fail
+        on a taken name, as on local disks and HDFS.  Object stores whose rename
+        is a copy promise no more than the check before it: use one writer there.
         """
         if self.exists(name):
             return False
@@ -74,10 +78,29 @@ class Folder:
         stream = self._fs.create(self._at(part), False)
         stream.write(json.dumps(content).encode())
         stream.close()
-        if not self.exists(name) and self._fs.rename(self._at(part), self._at(name)):
+        if self._fs.getScheme() == "file":
+            won = self._link(part, name)
+        elif not self.exists(name) and self._fs.rename(self._at(part), self._at(name)):
             return True
+        else:
+            won = False
         self._fs.delete(self._at(part), False)
-        return False
+        return won
+
+    def _link(self, part: str, name: str) -> bool:
+        jvm = self.spark._jvm
+        place = lambda n: jvm.java.io.File(self._at(n).toUri().getPath()).toPath()
+        try:
+            jvm.java.nio.file.Files.createLink(place(name), place(part))
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        return True
+
+    def move(self, name: str, to: str) -> None:
+        self.make(to.rpartition("/")[0])
+        self._fs.rename(self._at(name), self._at(to))
 
 
 class Scratch:

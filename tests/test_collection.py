@@ -2,13 +2,17 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from docloom.errors import EngineError, FieldNotFound, UnsupportedOperation
+from docloom.errors import EngineError, FieldNotFound, SegmentError, UnsupportedOperation
 from docloom.functions import identity
 from docloom.plans import query as Q
-from docloom.sources.collection import Collection, Config
+from docloom.operators.versions import retain
+from docloom.sources.collection import Collection, Config, Document
 from docloom.sources.database import Database
+from docloom.sources.files import Folder
 
 
 def ns(found):
@@ -185,3 +189,80 @@ def test_flushes_compact_and_tend_indexes(spark, folder, inline):
     assert sorted(ns(c.run(Q.Scan(Q.Eq("category", "books"))))) == [5, 7, 9, 100, 101, 102, 103]
     c.verify()
     c.close()
+
+
+def test_ingest_and_merges_are_cut_by_ids_and_bytes(spark, folder):
+    """Files of a segment hold ranges of ids, merges have files by their bytes, and reads of a range skip segments."""
+    c = Collection.open(spark, f"{folder}/c", Config(file_bytes=20_000))
+    rows = spark.range(20_000).selectExpr("lpad(id, 8, '0') AS k", "id AS n", "sha2(string(id), 256) AS s")
+    c.put_frame(rows.where("n < 15000").repartition(5), "k")
+    c.put_frame(rows.where("n >= 15000").repartition(5), "k")
+    low, high = c.segments
+    assert (low.min_id, low.max_id, low.rows) == ("00000000", "00014999", 15_000) and high.min_id == "00015000"
+    c.merge_segments(c.segments)
+    (one,) = c.segments
+    files = [r for r in spark.read.parquet(f"{c.files.path}/{one.name}").selectExpr("input_file_name() AS f", "_id").groupBy("f").agg({"_id": "min"}).collect()]
+    assert len(files) >= 5 and one.rows == 20_000
+    spans = spark.read.parquet(f"{c.files.path}/{one.name}").selectExpr("input_file_name() AS f", "_id").groupBy("f").agg(F.min("_id").alias("low"), F.max("_id").alias("high")).orderBy("low").collect()
+    assert all(a["high"] < b["low"] for a, b in zip(spans, spans[1:]))
+    assert c.range("00000010", "00000019").count() == 10 and c.range("x", "y").count() == 0 and c.get("00019999").get("n") == 19_999
+    plan = c.range("00000010", "00000019")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(_id), GreaterThanOrEqual(_id,00000010), LessThanOrEqual(_id,00000019)]" in plan
+    c.put({"n": -1}, "00000012")
+    c.delete("00000013")
+    assert sorted(ns(map(Document.of, c.range("00000011", "00000014").collect()))) == [-1, 11, 14]
+
+
+def test_damaged_pages_are_found(spark, tmp_path):
+    c = Collection.open(spark, f"file://{tmp_path}/c")
+    c.put_frame(spark.range(5000).selectExpr("id AS k", "sha2(string(id), 512) AS s"), "k")
+    c.verify()
+    (part,) = (tmp_path / "c" / c.segments[0].name).glob("*.parquet")
+    raw, column = bytearray(part.read_bytes()), pq.ParquetFile(part).metadata.row_group(0).column(0)
+    assert column.path_in_schema == "_id"
+    raw[column.data_page_offset + column.total_compressed_size // 2] ^= 0x01
+    part.write_bytes(bytes(raw))
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(SegmentError):
+        Collection.open(spark, f"file://{tmp_path}/c").verify()
+
+
+def test_a_damaged_log_keeps_what_was_before(spark, folder):
+    c = Collection.open(spark, f"{folder}/c")
+    for n in range(4):
+        c.put({"n": n}, f"id{n}")
+    name = c.files.names("log")[2]
+    c.files.delete(f"log/{name}")
+    stream = c.files._fs.create(c.files._at(f"log/{name}"), False)
+    stream.write(b'{"rows": [["id2", 3, fal')
+    stream.close()
+    again = Collection.open(spark, f"{folder}/c")
+    assert sorted(ns(map(Document.of, again.frame().collect()))) == [0, 1] and len(again.files.names("damaged")) == 2
+    again.put({"n": 7}, "id7")
+    assert sorted(ns(map(Document.of, Collection.open(spark, f"{folder}/c").frame().collect()))) == [0, 1, 7]
+
+
+def test_of_many_creators_one_wins(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = Folder(spark, f"{folder}/f")
+    files.make()
+    with ThreadPoolExecutor(8) as pool:
+        for n in range(10):
+            assert sum(pool.map(lambda i: files.create(f"x{n}", {"by": i}), range(8))) == 1
+    assert files.names() == sorted(f"x{n}" for n in range(10))
+
+
+def test_retention_keeps_what_each_bound_sees(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"k{rng.randrange(6)}", v) for v in rng.sample(range(1000), 300)] + [("hot", v) for v in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "_id string, _version long")
+    for bounds in ([], [100], [100, 500, 1200], [5000]):
+        want = set()
+        for b in [*bounds, 10**6]:
+            for k in {k for k, _ in rows}:
+                want |= {(k, max(v for x, v in rows if x == k and v <= b))} if any(x == k and v <= b for x, v in rows) else set()
+        got = [tuple(r) for r in retain(df, bounds).collect()]
+        assert set(got) == want and len(got) == len(want)
