@@ -1,8 +1,8 @@
 """Sorted side-tables that queries build for themselves.
 
 An index holds whole documents, range-partitioned and sorted by the values of
-its fields, so a filter or sort on them prunes files and row groups and needs no
-look-up.  It covers a set of segments; documents written later (the tail) are
+its fields, so a filter on them prunes files and row groups and needs no look-up,
+and an ascending scan with a limit reads the first files only.  It covers a set of segments; documents written later (the tail) are
 resolved against it when it is read, so it is never stale.  A partial index
 keeps its predicate and serves only queries with the same one.
 """
@@ -58,6 +58,17 @@ class Index:
     rows: int = 0
     unused_compactions: int = 0
     last_used: float = field(default_factory=time.time)
+    files: list[list] = field(default_factory=list)  # [name, rows], in the order of keys
+
+    def first_files(self, rows: int) -> list[str]:
+        """The files that hold the first so many rows."""
+        out, left = [], rows
+        for name, n in self.files:
+            if left <= 0 and out:
+                break
+            out.append(name)
+            left -= n
+        return out
 
     def to_dict(self) -> dict:
         return asdict(self)
@@ -84,7 +95,8 @@ def build(docs: DataFrame, fields: list[str], partitions: int) -> DataFrame:
     access = TaggedFields()
     out = docs.withColumns({key_column(i): access.sort_key(f) for i, f in enumerate(fields)})
     keys = [key_column(i) for i in range(len(fields))]
-    return out.repartitionByRange(partitions, *keys, ID).sortWithinPartitions(*keys, ID)
+    order = [*(F.col(k).asc_nulls_last() for k in keys), F.col(ID).asc()]  # that of an ascending scan
+    return out.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
 def prune(index: DataFrame, f: Q.Filter) -> DataFrame:

@@ -290,7 +290,9 @@ class Collection:
     def _write(self, rows: DataFrame, parts: int | None) -> tuple[C.Segment, int] | None:
         """A segment of the rows, in files of ranges of _id: as many as named, or as adaptive execution finds fit."""
         name = f"segment/{uuid.uuid4().hex}"
-        placed = rows.repartitionByRange(ID) if parts is None else rows.repartitionByRange(parts, ID)
+        if parts is None and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= self.config.flush_bytes:
+            parts = 1
+        placed = rows.repartition(1) if parts == 1 else rows.repartitionByRange(ID) if parts is None else rows.repartitionByRange(parts, ID)
         seen = Observation()
         sorted_ = placed.sortWithinPartitions(ID, VERSION).withColumn("_hash", content_hash())
         marks = (F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("n"), F.max(VERSION).alias("v"))
@@ -372,9 +374,14 @@ class Collection:
         if index is None:
             return self.frame(at), None
         index.used(self.config.clock())
-        rows = self._index_frame(index)
+        with self._lock:
+            current = not self._buffer and {s.name for s in self._segments} <= set(index.covers)
         if not q.sort:
-            rows = X.prune(rows, q.filter)
+            rows = X.prune(self._index_frame(index), q.filter)
+        elif current and q.limit is not None and not q.sort[0].descending and (q.filter is None or index.predicate is not None):
+            rows = self._index_frame(index, q.limit)  # all its rows match, and no later write moves one
+        else:
+            rows = self._index_frame(index)
         return X.with_tail(rows, self._tail(index)), index
 
     def _choose(self, q: Q.Scan) -> X.Index | None:
@@ -438,8 +445,10 @@ class Collection:
     def indexes(self) -> list[X.Index]:
         return list(self._indexes)
 
-    def _index_frame(self, index: X.Index) -> DataFrame:
-        return self.spark.read.parquet(f"{self.files.path}/{index.name}")
+    def _index_frame(self, index: X.Index, first: int | None = None) -> DataFrame:
+        """The rows of an index, or those of the files that hold its first ones."""
+        path = f"{self.files.path}/{index.name}"
+        return self.spark.read.parquet(*([path] if first is None or not index.files else [f"{path}/{n}" for n in index.first_files(first)]))
 
     def _tail(self, index: X.Index) -> DataFrame:
         covered = set(index.covers)
@@ -455,8 +464,10 @@ class Collection:
                 docs = docs.where(compile_filter(f, self.fields))
             name = f"index/{uuid.uuid4().hex}"
             X.build(docs, list(fields), self.config.index_partitions or self._files(self._segments)).write.parquet(f"{self.files.path}/{name}")
-            rows = self.spark.read.parquet(f"{self.files.path}/{name}").count()
-            index = X.Index(name, list(fields), X.dump_filter(f), [s.name for s in self._segments], rows, 0, self.config.clock())
+            file = F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+            counts = self.spark.read.parquet(f"{self.files.path}/{name}").groupBy(file).count().collect()  # a row per file
+            files = sorted([r["file"], r["count"]] for r in counts)
+            index = X.Index(name, list(fields), X.dump_filter(f), [s.name for s in self._segments], sum(n for _, n in files), 0, self.config.clock(), files)
             self._indexes = [i for i in self._indexes if (i.fields, i.predicate) != (index.fields, index.predicate)] + [index]
             self._commit()
             return index

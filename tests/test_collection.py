@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from docloom.errors import EngineError, FieldNotFound, SegmentError, UnsupportedOperation
 from docloom.functions import identity
 from docloom.plans import query as Q
+from docloom.functions.fields import TaggedFields
 from docloom.operators.versions import retain
+from docloom.plans.compiler import scan
 from docloom.sources.collection import Collection, Config, Document
 from docloom.sources.database import Database
 from docloom.sources.files import Folder
@@ -193,7 +195,7 @@ def test_flushes_compact_and_tend_indexes(spark, folder, inline):
 
 def test_ingest_and_merges_are_cut_by_ids_and_bytes(spark, folder):
     """Files of a segment hold ranges of ids, merges have files by their bytes, and reads of a range skip segments."""
-    c = Collection.open(spark, f"{folder}/c", Config(file_bytes=20_000))
+    c = Collection.open(spark, f"{folder}/c", Config(file_bytes=20_000, flush_bytes=20_000))
     rows = spark.range(20_000).selectExpr("lpad(id, 8, '0') AS k", "id AS n", "sha2(string(id), 256) AS s")
     c.put_frame(rows.where("n < 15000").repartition(5), "k")
     c.put_frame(rows.where("n >= 15000").repartition(5), "k")
@@ -266,3 +268,18 @@ def test_retention_keeps_what_each_bound_sees(spark):
                 want |= {(k, max(v for x, v in rows if x == k and v <= b))} if any(x == k and v <= b for x, v in rows) else set()
         got = [tuple(r) for r in retain(df, bounds).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_limits_read_the_first_files_of_an_index(spark, folder):
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False, index_partitions=5))
+    c.put_frame(spark.range(1000).selectExpr("lpad(id, 4, '0') AS k", "CASE WHEN id % 10 <> 0 THEN (id * 7) % 1000 END AS n"), "k")
+    c.build_index(["n"])
+    assert len(c.indexes[0].files) == 5 and c.indexes[0].rows == 1000
+    for q, files in ((Q.Scan(sort=(Q.SortField("n"),), limit=20), 1), (Q.Scan(sort=(Q.SortField("n"),), limit=450), 3), (Q.Scan(sort=(Q.SortField("n", True),), limit=20), 5), (Q.Scan(sort=(Q.SortField("n"),)), 5)):
+        got = c.scan(q)
+        assert len([f for f in got.inputFiles() if "/index/" in f]) <= files
+        want = [tuple(r) for r in scan(c.frame(), q, TaggedFields()).select("_id").collect()]
+        assert [tuple(r) for r in got.select("_id").collect()] == want
+    c.put({"n": -5}, "0001")
+    q = Q.Scan(sort=(Q.SortField("n"),), limit=3)
+    assert [d.id for d in c.run(q)][0] == "0001" and [d.id for d in Collection.open(spark, f"{folder}/c").run(q)][0] == "0001"
