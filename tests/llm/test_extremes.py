@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docloom.llm import binary, bpe, itq, minhash, mixing, packing, topk, toxicity
 from docloom.llm import words as W
 from docloom.llm.bpe import encoder
@@ -342,3 +343,30 @@ def test_a_long_text_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(w.hashes) == 4_000_000 and peak < 12 * 20_000_000
+
+
+# -- pipeline ----------------------------------------------------------------------------
+
+
+def test_odd_rows_go_through_all_stages(spark, folder):
+    """Nulls in any column, empty and long texts, repeated rows and clashing columns; each stage keeps what it should."""
+    t = " ".join(prose(20))
+    docs = [(1, t, "a", "en", 1), (1, t, "a", "en", 1), (2, t + " end", None, None, None), (None, t, "b", "en", 2), (3, None, None, None, None), (4, "", "b", "en", 0)]
+    docs += [(5, "long " * 300_000, "b", "en", 9), (6, " \n " * 50_000, "a", "en", 9), (None, "own words of nobody here", None, "en", 3), (7, " ".join(prose(21)), "a", "en", 5)]
+    spark.createDataFrame([(1, 0, 0), (None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    df = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit("x") for c in ("rep", "seq", "digest", "component", "sid", "u", "key", "score")})
+    df.write.parquet(f"{folder}/documents.parquet")
+    now, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, folder)
+        out.write.parquet(f"{folder}/stage{n}")
+        if n < 3:
+            assert out.columns == df.columns
+            now = spark.read.parquet(f"{folder}/stage{n}")
+            kept.append(sorted((r["doc_id"] or 0, (r["text"] or "").strip()[:5]) for r in now.collect()))
+    assert len(kept[0]) == len(docs)
+    assert kept[1] == sorted([(1, t[:5]), (3, ""), (4, ""), (5, "long "), (6, ""), (0, "own w"), (7, " ".join(prose(21))[:5])])
+    assert {d for d, _ in kept[2]} <= {d for d, _ in kept[1]} and not {3, 4, 6} & {d for d, _ in kept[2]}
+    pieces = spark.read.parquet(f"{folder}/stage3").groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("whole")).collect()
+    assert {r["doc_id"] or 0: r["n"] // r["whole"] for r in pieces} == {d: [x for x, _ in kept[2]].count(d) for d in {x for x, _ in kept[2]}}
+    assert corpus_pipeline.run(spark, folder).count() > 0
