@@ -9,15 +9,17 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import LogError
+from ..errors import EngineError, LogError
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where that is unset, on one machine only, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise EngineError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='docloom-')}")
     return base.rstrip("/")
 
