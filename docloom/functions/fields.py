@@ -42,6 +42,30 @@ def tag_of(kind: T.DataType) -> Tag | None:
     return None
 
 
+def canonical(c: Column, kind: T.DataType) -> Column:
+    """The canonical text of a typed value, null for null; fields of a struct that are null are missing."""
+    tag = tag_of(kind)
+    if tag == Tag.ARRAY:
+        inner = F.transform(c, lambda x: F.coalesce(canonical(x, kind.elementType), F.lit("[0,null]")))
+    elif isinstance(kind, T.StructType):
+        parts = [canonical(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        inner = F.when(c.isNotNull(), F.struct(*parts)) if parts else F.when(c.isNotNull(), F.create_map().cast("map<string,string>"))
+    elif tag == Tag.DOCUMENT:
+        value = lambda x: F.coalesce(canonical(x, kind.valueType), F.lit("[0,null]"))
+        pairs = F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), value(e["value"]).alias("value")))
+        inner = F.map_from_entries(F.array_sort(pairs))
+    elif tag == Tag.BYTES:
+        return F.concat(F.lit('[6,"'), F.lower(F.hex(c)), F.lit('"]'))
+    elif tag == Tag.F64:
+        return F.concat(F.lit('[4,"'), (c.cast("double") + F.lit(0.0)).cast("string"), F.lit('"]'))
+    elif tag in (Tag.BOOL, Tag.I64, Tag.U64):
+        return F.concat(F.lit(f"[{int(tag)},"), c.cast("string"), F.lit("]"))
+    else:
+        text = F.to_json(F.array(c.cast("string")))
+        return F.when(c.isNotNull(), F.concat(F.lit(f"[{int(Tag.STRING)},"), F.substr(text, F.lit(2))))
+    return F.concat(F.lit(f"[{int(tag)},"), F.to_json(inner), F.lit("]"))
+
+
 class TypedFields:
     """A column per field.  ``id`` and ``version`` name the columns that stand for _id and _version."""
 
@@ -101,10 +125,15 @@ class TypedFields:
 
 
 class TaggedFields:
-    """A column ``fields`` of tagged values by name, beside _id, _version and _deleted."""
+    """A column ``fields`` of tagged values by name, beside _id, _version and _deleted.
+
+    ``lanes`` names fields that have one type in all documents, each with its tag
+    and the column that holds its values; tests and projections use that column.
+    """
 
-    def __init__(self, df: DataFrame | None = None):
+    def __init__(self, df: DataFrame | None = None, lanes: dict[str, tuple[Tag, str]] | None = None):
         self.kinds: dict = {}
+        self.lanes = lanes or {}
 
     @staticmethod
     def _virtual(field: str) -> Column | None:
@@ -112,6 +141,8 @@ class TaggedFields:
 
     def present(self, field: str) -> Column:
         virtual = self._virtual(field)
+        if virtual is None and field in self.lanes:
+            virtual = F.col(self.lanes[field][1])
         return virtual.isNotNull() if virtual is not None else F.map_contains_key("fields", F.lit(field))
 
     def compare(self, field: str, op: str, value: Value) -> Column | None:
@@ -125,12 +156,19 @@ class TaggedFields:
                 return virtual == F.lit(value.raw.hex() if value.tag == Tag.UUID else value.raw)
             return virtual == F.lit(value.raw) if field == VERSION and value.tag in (Tag.I64, Tag.U64) else None
         x = F.col("fields")[field]
-        if value.tag == Tag.NULL:
+        if field in self.lanes:
+            if value.tag != self.lanes[field][0]:
+                return None
+        elif value.tag == Tag.NULL:
             return x["tag"] == int(Tag.NULL) if op == "eq" else None
         if op != "eq" and value.tag not in ORDERED:
             return None
         raw = value.canonical() if value.tag in (Tag.ARRAY, Tag.DOCUMENT) else Decimal(value.raw) if value.tag == Tag.U64 else value.raw
-        lane, literal, same = x[LANE[value.tag]], F.lit(raw), x["tag"] == int(value.tag)
+        literal = F.lit(raw)
+        if field in self.lanes:
+            lane, same = F.col(self.lanes[field][1]), F.lit(True)
+        else:
+            lane, same = x[LANE[value.tag]], x["tag"] == int(value.tag)
         if op == "eq":
             return same & (lane == literal)
         test = {"gt": lane > literal, "ge": lane >= literal, "lt": lane < literal}[op]
@@ -145,6 +183,9 @@ class TaggedFields:
     def sort_key(self, field: str) -> Column:
         """Ordered by type tag, then by value; null where the field is missing."""
         virtual = self._virtual(field)
+        if virtual is None and field in self.lanes:
+            tag, name = self.lanes[field]
+            return F.col(name) + F.lit(0.0) if tag == Tag.F64 else F.col(name)
         return virtual if virtual is not None else F.when(self.present(field), self._lanes(field))
 
     def join_key(self, field: str) -> Column | None:
@@ -160,5 +201,10 @@ class TaggedFields:
         return None  # each value has its own
 
     def project(self, df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-        kept = F.map_filter("fields", lambda k, _: k.isin(list(names))) if names else F.map_filter("fields", lambda k, _: F.lit(False))
+        if set(names) <= set(self.lanes):
+            from .lanes import entries
+
+            kept = entries([(n, *self.lanes[n][:1], F.col(self.lanes[n][1])) for n in dict.fromkeys(names)])
+        else:
+            kept = F.map_filter("fields", lambda k, _: k.isin(list(names)))
         return df.withColumn("fields", kept).withColumn("_projected", F.lit(True))

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from dataclasses import dataclass
+from decimal import Decimal
 from enum import IntEnum
 from typing import Any
 
@@ -54,9 +56,9 @@ class Value:
         """Text that is equal exactly for equal values; fields of documents sorted."""
         if self.tag in (Tag.ARRAY, Tag.DOCUMENT):
             parts = [v.canonical() for v in self.raw] if self.tag == Tag.ARRAY else {k: v.canonical() for k, v in sorted(self.raw)}
-            return json.dumps([int(self.tag), parts], separators=(",", ":"), ensure_ascii=False)
-        raw = self.raw.hex() if isinstance(self.raw, bytes) else repr(self.raw + 0.0) if self.tag == Tag.F64 else self.raw
-        return json.dumps([int(self.tag), raw], separators=(",", ":"), ensure_ascii=False)
+            return _dump([int(self.tag), parts])
+        raw = self.raw.hex() if isinstance(self.raw, bytes) else _float_text(self.raw + 0.0) if self.tag == Tag.F64 else self.raw
+        return _dump([int(self.tag), raw])
 
     def python(self) -> Any:
         if self.tag == Tag.ARRAY:
@@ -66,6 +68,22 @@ class Value:
         return uuid.UUID(bytes=self.raw) if self.tag == Tag.UUID else self.raw
 
 
+def _dump(x: Any) -> str:
+    """JSON as Spark writes it, so that both give equal values equal texts: escapes have capital digits."""
+    text = json.dumps(x, separators=(",", ":"), ensure_ascii=False)
+    return re.sub(r"\\(u[0-9a-f]{4}|.)", lambda m: m[0][:2] + m[0][2:].upper(), text)
+
+
+def _float_text(x: float) -> str:
+    """A double as Spark casts it to a string: plain from 0.001 to 10,000,000, else with an exponent."""
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
+    if x == 0 or 1e-3 <= abs(x) < 1e7:
+        return format(Decimal(repr(x)), "f")
+    digits = "".join(map(str, Decimal(repr(x)).as_tuple().digits)).rstrip("0")
+    return f"{'-' if x < 0 else ''}{digits[0]}.{digits[1:] or '0'}E{Decimal(repr(x)).adjusted()}"
+
+
 def u64(n: int) -> Value:
     return Value(Tag.U64, int(n))
 
@@ -105,8 +123,6 @@ LANE = {
 
 def encode(value: Any) -> dict:
     """The stored form of a value."""
-    from decimal import Decimal
-
     v = lift(value)
     row = dict.fromkeys(("b", "i", "u", "d", "s", "y", "c")) | {"tag": int(v.tag)}
     if v.tag in (Tag.ARRAY, Tag.DOCUMENT):

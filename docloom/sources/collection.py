@@ -20,12 +20,13 @@ from typing import Any
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentError, EngineError, FieldNotFound, HashMismatch, LogError, SegmentError
-from ..functions.fields import DELETED, ID, VERSION, TaggedFields, tag_of
+from ..functions import lanes as L
+from ..functions.fields import DELETED, ID, VERSION, TaggedFields, canonical, tag_of
 from ..functions.identity import NIL, new_id
 from ..functions.values import LANE, STORED, Tag, Value, decode, encode
 from ..operators import compaction as C
@@ -56,6 +57,7 @@ class Config:
     w_step: int = 16
     w_cooldown_seconds: float = 900.0
     flush_bytes: int = 16 << 20
+    lanes: int = 200  # most fields of a segment that have a typed column of their own
     compaction_threads: int = 4
     inline_compaction: bool = False  # after a flush, where no background compaction runs
     learn: bool = True
@@ -70,7 +72,7 @@ def content_hash():
 
 def tag_columns(df: DataFrame, id: str | None = None) -> DataFrame:
     """Documents from a DataFrame of typed columns: (_id, fields); NULLs are missing fields."""
-    entries = []
+    values = []
     for f in df.schema.fields:
         if f.name == id:
             continue
@@ -79,16 +81,12 @@ def tag_columns(df: DataFrame, id: str | None = None) -> DataFrame:
         if tag is None:
             tag, c = Tag.STRING, c.cast("string")
         elif tag in (Tag.ARRAY, Tag.DOCUMENT):
-            c = F.to_json(c)
+            c = canonical(c, f.dataType)
         elif tag == Tag.U64:
             c = c.cast("decimal(20,0)")
-        lanes = {"tag": F.lit(int(tag)), LANE[tag]: c}
-        names = ("tag", "b", "i", "u", "d", "s", "y", "c")
-        stored = F.struct(*(lanes.get(n, F.lit(None)).alias(n) for n in names)).cast(STORED)
-        entries.append(F.when(c.isNotNull(), F.struct(F.lit(f.name).alias("key"), stored.alias("value"))))
+        values.append((f.name, tag, c))
     key = F.col(f"`{id}`").cast("string") if id else F.replace(F.uuid(), F.lit("-"), F.lit(""))
-    none = F.array().cast(f"array<struct<key:string,value:{STORED}>>")
-    return df.select(key.alias(ID), F.map_from_entries(F.filter(F.array(*entries), lambda x: x.isNotNull()) if entries else none).alias("fields"))
+    return df.select(key.alias(ID), L.entries(values).alias("fields"))
 
 
 @dataclass(frozen=True)
@@ -238,18 +236,19 @@ class Collection:
         """
         if feed is not None and feed[1] <= self._feeds.get(feed[0], -1):
             return
-        self._append_frame(tag_columns(df, id).select(ID, F.lit(False).alias(DELETED), "fields"), feed)
+        layout = L.of_schema(df.schema, id, self.config.lanes)
+        self._append_frame(tag_columns(df, id).select(ID, F.lit(False).alias(DELETED), "fields"), layout, feed)
 
     def delete_frame(self, ids: DataFrame) -> None:
         """Writes a tombstone for each id of a one-column DataFrame, as one batch."""
         none = F.create_map().cast(f"map<string,{STORED}>")
-        self._append_frame(ids.toDF(ID).select(F.col(ID).cast("string"), F.lit(True).alias(DELETED), none.alias("fields")))
+        self._append_frame(ids.toDF(ID).select(F.col(ID).cast("string"), F.lit(True).alias(DELETED), none.alias("fields")), L.Layout((), True))
 
-    def _append_frame(self, docs: DataFrame, feed: tuple[str, int] | None = None) -> None:
+    def _append_frame(self, docs: DataFrame, layout: L.Layout, feed: tuple[str, int] | None = None) -> None:
         with self._lock:
             self._flush()
             version = F.lit(self._version + 1) + F.monotonically_increasing_id()
-            segment = self._write(docs.select(ID, version.alias(VERSION), DELETED, "fields"), parts=None)
+            segment = self._write(docs.select(ID, version.alias(VERSION), DELETED, "fields"), None, layout)
             if segment:
                 self._version = segment[1]
                 self._segments.append(segment[0])
@@ -278,7 +277,7 @@ class Collection:
         with self._lock:
             if not self._buffer:
                 return False
-            written = self._write(self._buffered(), self.config.segment_partitions)
+            written = self._write(self._buffered(), self.config.segment_partitions, self._buffer_layout())
             self._segments.append(written[0])
             old, self._log_from = self._log_from, self._log_next
             self._commit()
@@ -287,56 +286,98 @@ class Collection:
                 self.files.delete(f"log/{n:012d}.json")
             return True
 
-    def _write(self, rows: DataFrame, parts: int | None) -> tuple[C.Segment, int] | None:
+    def _write(self, rows: DataFrame, parts: int | None, layout: L.Layout) -> tuple[C.Segment, int] | None:
         """A segment of the rows, in files of ranges of _id: as many as named, or as adaptive execution finds fit."""
         name = f"segment/{uuid.uuid4().hex}"
         if parts is None and int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= self.config.flush_bytes:
             parts = 1
         placed = rows.repartition(1) if parts == 1 else rows.repartitionByRange(ID) if parts is None else rows.repartitionByRange(parts, ID)
         seen = Observation()
-        sorted_ = placed.sortWithinPartitions(ID, VERSION).withColumn("_hash", content_hash())
-        marks = (F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("n"), F.max(VERSION).alias("v"))
+        # the versions of an id are together and in order already, so counting them moves nothing
+        nth = F.row_number().over(Window.partitionBy(ID).orderBy(VERSION))
+        sorted_ = placed.withColumn("_nth", nth).sortWithinPartitions(ID, VERSION)
+        marks = [F.min(ID).alias("low"), F.max(ID).alias("high"), F.count("*").alias("n"), F.max(VERSION).alias("v")]
+        marks += [F.max("_nth").alias("most"), F.count_if(~F.coalesce(F.col(DELETED), F.lit(False))).alias("live")]
+        out = L.shred(sorted_.observe(seen, *marks).drop("_nth").withColumn("_hash", content_hash()), layout)
         # a bloom filter on _id serves point lookups, page checksums find damage
-        writer = sorted_.observe(seen, *marks).write.option("compression", "zstd")
+        writer = out.write.option("compression", "zstd")
         writer = writer.option(f"parquet.bloom.filter.enabled#{ID}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         writer = writer.option("parquet.page.write-checksum.enabled", "true")
         writer.parquet(f"{self.files.path}/{name}")
         try:
             found = seen.get
         except Py4JJavaError:  # the optimizer saw that there are no rows
-            found = self._segment_frame(name).agg(*marks).first().asDict()
+            found = {"n": 0}
         if not found["n"]:
             self.files.delete(name)
             return None
-        return C.Segment(name, found["low"], found["high"], self.files.size(name), found["n"], self._seq + 1), found["v"]
+        live = found["live"] if found["most"] == 1 else -1
+        return C.Segment(name, found["low"], found["high"], self.files.size(name), found["n"], self._seq + 1, live, layout.lanes, layout.closed), found["v"]
 
     def _files(self, segments: Iterable[C.Segment]) -> int:
         return max(1, math.ceil(sum(s.bytes for s in segments) / self.config.file_bytes))
 
     # -- reading ---------------------------------------------------------------
 
-    def _segment_frame(self, *names: str) -> DataFrame:
+    def _segment_frame(self, *names: str, exposed: L.Layout = L.Layout()) -> DataFrame:
+        """Rows of segments, with whole documents, and the lanes of ``exposed`` by themselves too."""
         for n in names:
             if not self.files.exists(n):
                 raise SegmentError(f"{n} is missing")
-        read = self.spark.read.schema(f"{SCHEMA}, _hash string").option("parquet.page.verify-checksum.enabled", "true")
-        return read.parquet(*(f"{self.files.path}/{n}" for n in names))
-
-    def _buffered(self) -> DataFrame:
-        return self.spark.createDataFrame([Row(*r) for r in self._buffer], SCHEMA)
-
-    def versions(self, segments: list[str] | None = None) -> DataFrame:
+        layouts = [s.layout for s in self._segments if s.name in names]
+        lanes = L.schema_of(layouts)
+        schema = f"{SCHEMA}, _hash string" + (f", {L.LANES} {lanes}" if lanes else "")
+        read = self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true")
+        rows = read.parquet(*(f"{self.files.path}/{n}" for n in names))
+        typed = {f"_{c}": F.col(L.LANES)[c] for c in (L.column_of(*lane) for lane in exposed.lanes)}
+        return rows.select(ID, VERSION, DELETED, L.restored(layouts).alias("fields"), "_hash", *(c.alias(n) for n, c in typed.items()))
+
+    def _buffered(self, exposed: L.Layout = L.Layout()) -> DataFrame:
+        rows = self.spark.createDataFrame([Row(*r) for r in self._buffer], SCHEMA)
+        return rows.select("*", *(F.col("fields")[n][LANE[Tag(t)]].alias(f"_{L.column_of(n, t)}") for n, t in exposed.lanes))
+
+    def _buffer_layout(self) -> L.Layout:
+        return L.of_rows((row[3] for row in self._buffer), self.config.lanes)
+
+    def versions(self, segments: list[str] | None = None, exposed: L.Layout = L.Layout()) -> DataFrame:
         """All stored versions: of the segments named, or of all, and the buffer's."""
         with self._lock:
             names = [s.name for s in self._segments] if segments is None else segments
-            parts = ([self._segment_frame(*names).drop("_hash")] if names else []) + ([self._buffered()] if self._buffer else [])
+            parts = [self._segment_frame(*names, exposed=exposed).drop("_hash")] if names else []
+            parts += [self._buffered(exposed)] if self._buffer else []
         if not parts:
             return self.spark.createDataFrame([], SCHEMA)
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def frame(self, at: Snapshot | None = None) -> DataFrame:
         """The live documents, of a snapshot or now."""
-        return latest(self.versions(), at.version if at else None)
+        return self._live(self._segments, at)
+
+    def _alone(self, segments: list[C.Segment]) -> list[C.Segment]:
+        """The segments that hold one version of each id and share ids with no other and not with the buffer."""
+        low, high = min((r[0] for r in self._buffer), default=None), max((r[0] for r in self._buffer), default=None)
+        out, reach = [], None
+        ordered = sorted(segments, key=lambda s: (s.min_id, s.max_id))
+        for s, after in zip(ordered, [*ordered[1:], None]):
+            apart = (reach is None or reach < s.min_id) and (after is None or s.max_id < after.min_id)
+            if apart and s.live >= 0 and (low is None or s.max_id < low or high < s.min_id):
+                out.append(s)
+            reach = s.max_id if reach is None else max(reach, s.max_id)
+        return out
+
+    def _live(self, segments: list[C.Segment], at: Snapshot | None, exposed: L.Layout = L.Layout(), only: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The live documents of segments and buffer; where an id can't have two versions, none are compared and nothing is shuffled."""
+        with self._lock:
+            alone = self._alone(segments)
+            others = [s.name for s in segments if s not in alone]
+            parts = []
+            if alone:
+                rows = only(self._segment_frame(*(s.name for s in alone), exposed=exposed).drop("_hash"))
+                rows = rows.where(~F.coalesce(F.col(DELETED), F.lit(False)))
+                parts.append(rows.where(F.col(VERSION) <= at.version) if at else rows)
+            if others or self._buffer or not alone:
+                parts.append(latest(only(self.versions(others, exposed)), at.version if at else None))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def get(self, id: str, at: Snapshot | None = None) -> Document | None:
         timer = QueryTimer(self.stats, pattern_of(Q.Get(id)))
@@ -348,9 +389,8 @@ class Collection:
     def range(self, low: str, high: str, at: Snapshot | None = None) -> DataFrame:
         """The live documents with low <= _id <= high, from the segments whose ids reach into that range."""
         with self._lock:
-            names = [s.name for s in self._segments if s.min_id <= high and low <= s.max_id]
-            rows = self.versions(names)
-        return latest(rows.where(F.col(ID).between(low, high)), at.version if at else None)
+            reached = [s for s in self._segments if s.min_id <= high and low <= s.max_id]
+            return self._live(reached, at, only=lambda rows: rows.where(F.col(ID).between(low, high)))
 
     def contains(self, id: str) -> bool:
         return self.get(id) is not None
@@ -367,12 +407,16 @@ class Collection:
 
     def scan(self, q: Q.Scan, at: Snapshot | None = None) -> DataFrame:
         """A lazy scan; an index serves it if one fits and no snapshot is asked for."""
-        return scan(self._source(q, at)[0], q, self.fields)
+        rows, _, fields = self._source(q, at)
+        return _plain(scan(rows, q, fields), q)
 
-    def _source(self, q: Q.Scan, at: Snapshot | None) -> tuple[DataFrame, X.Index | None]:
+    def _source(self, q: Q.Scan, at: Snapshot | None) -> tuple[DataFrame, X.Index | None, TaggedFields]:
         index = self._choose(q) if at is None else None
         if index is None:
-            return self.frame(at), None
+            with self._lock:
+                exposed = L.joint([s.layout for s in self._segments] + ([self._buffer_layout()] if self._buffer else []))
+                lanes = {n: (Tag(t), f"_{L.column_of(n, t)}") for n, t in exposed.lanes}
+                return self._live(self._segments, at, exposed), None, TaggedFields(lanes=lanes)
         index.used(self.config.clock())
         with self._lock:
             current = not self._buffer and {s.name for s in self._segments} <= set(index.covers)
@@ -382,7 +426,7 @@ class Collection:
             rows = self._index_frame(index, q.limit)  # all its rows match, and no later write moves one
         else:
             rows = self._index_frame(index)
-        return X.with_tail(rows, self._tail(index)), index
+        return X.with_tail(rows, self._tail(index)), index, self.fields
 
     def _choose(self, q: Q.Scan) -> X.Index | None:
         with self._lock:
@@ -413,14 +457,18 @@ class Collection:
             out = [Document.of(r) for r in self.traverse(q, at).collect()]
             timer.done(0, len(out))
             return out
-        source, index = self._source(q, at)
+        with self._lock:
+            rows, index, fields = self._source(q, at)
+            known = at is None and not self._buffer and len(self._alone(self._segments)) == len(self._segments)
+            live = sum(s.live for s in self._segments)
         read, passed = Observation(), Observation()
-        rows = source.observe(read, F.count(F.lit(1)).alias("n"))
+        if not known or index:  # a count of what is read would keep the filter from the scan
+            rows = rows.observe(read, F.count(F.lit(1)).alias("n"))
         if q.filter is not None:
-            rows = rows.where(compile_filter(q.filter, self.fields))
+            rows = rows.where(compile_filter(q.filter, fields))
         rows = rows.observe(passed, F.count(F.lit(1)).alias("n"))
-        out = [Document.of(r) for r in scan(rows, replace(q, filter=None), self.fields).collect()]
-        scanned, matched = _seen(read), _seen(passed)
+        out = [Document.of(r) for r in _plain(scan(rows, replace(q, filter=None), fields), q).collect()]
+        scanned, matched = live if known and not index else _seen(read), _seen(passed)
         timer.done(len(out) if index else scanned, len(out))
         if self.config.learn and at is None and index is None:
             self._learn(q, matched, len(out))
@@ -519,7 +567,8 @@ class Collection:
             low, high = min(s.min_id for s in segments), max(s.max_id for s in segments)
             older = [s for s in self._segments if s.name not in names and s.seq <= newest and s.min_id <= high and low <= s.max_id]
             rows = C.merge(self._segment_frame(*sorted(names)).drop("_hash"), bounds, not older and not bounds, transform)
-            written = self._write(rows, self._files(segments))
+            layout = L.Layout() if transform else L.joint([s.layout for s in segments])
+            written = self._write(rows, self._files(segments), layout)
             kept = [s for s in self._segments if s.name not in names]
             self._segments = kept + ([replace(written[0], seq=newest)] if written else [])
             fresh = []
@@ -611,6 +660,11 @@ class Collection:
         self._flush()
 
 
+def _plain(docs: DataFrame, q: Q.Scan) -> DataFrame:
+    """Documents without the lanes that a scan has used."""
+    return docs.select(ID, VERSION, DELETED, "fields", *(["_projected"] if q.project is not None else []))
+
+
 def _seen(rows: Observation) -> int:
     """Rows that an action has passed; none where the optimizer saw that the result is empty."""
     try:

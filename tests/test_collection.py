@@ -11,7 +11,7 @@ from docloom.functions import identity
 from docloom.plans import query as Q
 from docloom.functions.fields import TaggedFields
 from docloom.operators.versions import retain
-from docloom.plans.compiler import scan
+from docloom.plans.compiler import compile_filter, scan
 from docloom.sources.collection import Collection, Config, Document
 from docloom.sources.database import Database
 from docloom.sources.files import Folder
@@ -283,3 +283,74 @@ def test_limits_read_the_first_files_of_an_index(spark, folder):
     c.put({"n": -5}, "0001")
     q = Q.Scan(sort=(Q.SortField("n"),), limit=3)
     assert [d.id for d in c.run(q)][0] == "0001" and [d.id for d in Collection.open(spark, f"{folder}/c").run(q)][0] == "0001"
+
+
+def test_filters_and_columns_reach_the_files_of_a_collection(spark, folder):
+    """Where no id has two versions, a scan shuffles nothing, pushes its filter and reads the fields it names only."""
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False))
+    c.put_frame(spark.range(2_000).selectExpr("lpad(id, 8, '0') AS k", "id AS n", "sha2(string(id), 256) AS s", "id / 7 AS d"), "k")
+    q = Q.Scan(Q.And(Q.Gt("n", 10), Q.Lt("d", 3.0)), project=("n",))
+    plan = c.scan(q)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(lanes.i_n,10)" in plan and "LessThan(lanes.d_d,3.0)" in plan
+    read = plan.split("ReadSchema: ")[1]
+    assert "lanes:struct<i_n:bigint,d_d:double>" in read and "fields" not in read and "Exchange" not in plan
+    assert ns(c.run(q)) == list(range(11, 21)) and c.scan(q).columns == ["_id", "_version", "_deleted", "fields", "_projected"]
+    c.put({"n": 15}, id="00000003")  # a second version: the buffer's
+    assert ns(c.run(q)) == list(range(11, 21))
+    assert ns(c.run(Q.Scan(Q.Eq("n", 15)))) == [15, 15] and not c.run(Q.Scan(Q.Eq("n", 3)))
+
+
+@pytest.mark.parametrize("most", [200, 2])
+def test_lanes_keep_all_documents_and_types(spark, folder, most):
+    """Fields of several types, odd names and names that differ in case, missing and null values, in all stages of a collection."""
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False, lanes=most))
+    nan = float("nan")
+    c.put_frame(spark.sql("SELECT string(id) AS k, id AS a, string(id) AS A2, IF(id % 3 = 0, NULL, id / 2) AS `x.y`, array(id) AS l, id % 2 = 0 AS b FROM range(10)"), "k")
+    queries = [Q.Eq("a", 3), Q.Gt("a", 3), Q.Not(Q.Lt("a", 3)), Q.Eq("a", "3"), Q.Eq("A", 1.0), Q.Exists("A"), Q.Not(Q.Exists("x.y")), Q.Eq("a", None),
+               Q.Gt("x.y", 0.5), Q.Range("x.y", 0.0, 2.0), Q.Eq("b", True), Q.Exists("l"), Q.Eq("l", [3]), Q.Not(Q.Eq("é", "ü")), Q.Or(Q.Eq("A2", "7"), Q.Gt("é", "a"))]
+    scans = [Q.Scan(sort=(Q.SortField(f, d),), limit=7, project=p) for f, d, p in (("a", False, ("x.y", "a")), ("x.y", True, None), ("é", False, ("a", "l")))]
+
+    def check(n):
+        def kept(rows, fields):  # of each filter, in one job
+            tests = [F.coalesce(compile_filter(f, fields), F.lit(False)).alias(f"f{i}") for i, f in enumerate(queries)]
+            return sorted(map(tuple, rows.select("_id", *tests).collect()))
+
+        show = lambda df: [(d.id, sorted((k, v.canonical()) for k, v in d.fields.items())) for d in map(Document.of, df.collect())]
+        rows, _, fields = c._source(Q.Scan(), None)
+        want = kept(c.frame(), TaggedFields())
+        assert len(want) == n and kept(rows, fields) == want
+        for q in scans:
+            assert show(c.scan(q)) == show(scan(c.frame(), q, TaggedFields())), q
+
+    before = {d.id: d.fields for d in map(Document.of, c.frame().collect())}
+    assert before["4"]["x.y"].raw == 2.0 and "x.y" not in before["3"] and set(before["3"]) == {"a", "A2", "l", "b"}
+    check(10)
+    c.put_batch([("3", {"a": "three", "A": 1.0, "é": "ü"}), ("11", {"a": None, "x.y": nan}), ("12", {"A": 2, "x.y": -0.0, "l": b"\x00"}), ("13", {})])
+    c.delete("5")
+    check(12)
+    c.flush()
+    c.merge_segments(c.segments)
+    check(12)
+    c.put_frame(spark.sql("SELECT string(id) AS k, id AS a, string(id) AS `é` FROM range(20, 30)"), "k")
+    c.delete_frame(spark.sql("SELECT string(id) FROM range(25, 27)"))
+    check(20)
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False, lanes=most))
+    c.verify()
+    c.merge_segments(c.segments)
+    check(20)
+    c.verify()
+    assert c.get("4").fields == before["4"] and c.segments[0].live == 20
+
+
+def test_nested_columns_are_values(spark, folder):
+    """Arrays, structs and maps of a DataFrame equal the same values written one by one."""
+    c = Collection.open(spark, f"{folder}/c", Config(learn=False))
+    made = "array(1, NULL) AS a, struct('q\"\\\\' || char(31) AS z, 1e16D AS b, CAST(NULL AS INT) AS c) AS s, map('k', array(0.5D, 1e-5D, 12345678.9D, -0.0D)) AS m, array(X'00FF') AS y"
+    c.put_frame(spark.sql(f"SELECT 'x' AS id, {made}"), "id")
+    values = {"a": [1, None], "s": {"z": 'q"\\\x1f', "b": 1e16}, "m": {"k": [0.5, 1e-5, 12345678.9, -0.0]}, "y": [b"\x00\xff"]}
+    c.put(values, "y")
+    x, y = c.get("x"), c.get("y")
+    assert {n: v.canonical() for n, v in x.fields.items()} == {n: v.canonical() for n, v in y.fields.items()}
+    for name, value in values.items():
+        assert len(c.run(Q.Scan(Q.Eq(name, value)))) == 2, name
+    assert x.get("m") == values["m"] and x.get("s") == values["s"]
